@@ -23,15 +23,36 @@ from tallyforge.functions import refs as R
 _PLAIN = "[ -~]*"
 
 
+def _class(chars: list[str]) -> str:
+    """A regular-expression class of characters, in runs."""
+    runs: list[list[int]] = []
+    for cp in sorted(map(ord, chars)):
+        if runs and runs[-1][1] == cp - 1:
+            runs[-1][1] = cp
+        else:
+            runs.append([cp, cp])
+    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in runs) + "]"
+
+
 def _sql() -> str:
     q = R._q
     source, target = R.plain_table()
+    pairs = list(zip(source, target))
+    blanks, dashes = [c for c, t in pairs if t == " "], [c for c, t in pairs if t == "-"]
+    styled = [(c, t) for c, t in pairs if t not in " -"]
+    table = f"{q(''.join(c for c, _ in styled))}, {q(''.join(t for _, t in styled))}"
+    # one pass of a compiled expression for each class; the large table only where a styled form is there
+    plain = "raw"
+    for chars, new in ((list(source[len(target) :]), ""), (blanks, " "), (dashes, "-")):
+        plain = f"regexp_replace({plain}, {q(_class(chars))}, '{new}', 'g')"
     counts = ", ".join(f"len(regexp_extract_all(plain, {q('[' + R.anchors(s) + ']')})) AS {s}" for s in R.SCRIPTS)
     form = {s: f"translate(plain, {q(R.lookalike_table(s)[0])}, {q(R.lookalike_table(s)[1])})" for s in R.SCRIPTS}
     return f"""
     WITH texts AS MATERIALIZED (SELECT DISTINCT raw FROM batch WHERE raw IS NOT NULL),
+    swept AS MATERIALIZED (
+      SELECT raw, CASE WHEN regexp_full_match(raw, '{_PLAIN}') THEN raw ELSE {plain} END AS clean FROM texts),
     plains AS MATERIALIZED (
-      SELECT raw, CASE WHEN regexp_full_match(raw, '{_PLAIN}') THEN raw ELSE translate(raw, {q(source)}, {q(target)}) END AS plain FROM texts),
+      SELECT raw, CASE WHEN regexp_matches(clean, {q(_class([c for c, _ in styled]))}) THEN translate(clean, {table}) ELSE clean END AS plain FROM swept),
     scripts AS MATERIALIZED (
       SELECT raw, plain, {counts} FROM plains WHERE NOT regexp_full_match(plain, '{_PLAIN}')),
     forms AS (
