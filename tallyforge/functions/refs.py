@@ -70,19 +70,20 @@ def lookalike_table(script: str) -> tuple[str, str]:
 
 
 @cache
-def anchors(script: str) -> str:
-    """The letters of ``script`` whose base letter has no double in another script, as a character class body.
-    A capital's small form without a double counts by its own shape."""
+def anchor_letters(script: str) -> str:
+    """The letters of ``script`` whose base letter has no double in another script. A capital's small form without a
+    double counts by its own shape."""
     doubles = {x for row in LOOKALIKES for x in row}
     name = _NAMES[SCRIPTS.index(script)]
-    cps = []
-    for lo, hi in _LETTER_BLOCKS:
-        for cp in range(lo, hi):
-            ch = chr(cp)
-            if U.category(ch)[0] == "L" and U.name(ch, "").startswith(name) and U.normalize("NFD", ch)[0] not in doubles:
-                cps.append(cp)
+    letters = (chr(cp) for lo, hi in _LETTER_BLOCKS for cp in range(lo, hi))
+    return "".join(c for c in letters if U.category(c)[0] == "L" and U.name(c, "").startswith(name) and U.normalize("NFD", c)[0] not in doubles)
+
+
+@cache
+def anchors(script: str) -> str:
+    """``anchor_letters`` as the body of a character class."""
     runs: list[list[int]] = []
-    for cp in cps:
+    for cp in map(ord, anchor_letters(script)):
         if runs and runs[-1][1] == cp - 1:
             runs[-1][1] = cp
         else:
@@ -108,13 +109,15 @@ def _let(value: Column, body) -> Column:
 
 
 _ASCII = r"^[\x20-\x7E]*\z"
+#: Blocks of the scripts beside Latin; without their letters nothing has to be unified.
+_OTHER_SCRIPTS = r"[\u0370-\u052F\u1F00-\u1FFF]"
 
 
 def consistent_form(ref: Column) -> Column:
     """A ref in its consistent form; null stays null."""
 
     def unify(plain: Column) -> Column:
-        n = {s: F.regexp_count(plain, F.lit(f"[{anchors(s)}]")) for s in SCRIPTS}
+        n = {s: F.length(plain) - F.length(F.translate(plain, anchor_letters(s), "")) for s in SCRIPTS}
 
         def pick(c: Column) -> Column:
             form = {s: F.translate(plain, *lookalike_table(s)) for s in SCRIPTS}
@@ -124,7 +127,7 @@ def consistent_form(ref: Column) -> Column:
                 .otherwise(form["latin"])
             )
 
-        return F.when(plain.rlike(_ASCII), plain).otherwise(_let(F.struct(*[n[s].alias(s) for s in SCRIPTS]), pick))
+        return F.when(~plain.rlike(_OTHER_SCRIPTS), plain).otherwise(_let(F.struct(*[n[s].alias(s) for s in SCRIPTS]), pick))
 
     def compose(text: Column) -> Column:
         pairs = F.split(F.lit("\n".join(k + "\t" + v for k, v in compositions())), "\n")
@@ -141,7 +144,7 @@ def is_reference(consistent: Column) -> Column:
 
 def key_of(consistent: Column) -> Column:
     """The comparison key of a consistent form; null for a placeholder. A ref of separators only keeps its form."""
-    key = F.regexp_replace(F.upper(consistent), r"[ ._/\-]+", "")
+    key = F.translate(F.upper(consistent), " ._/-", "")
     return F.when(is_reference(consistent), F.coalesce(F.nullif(key, F.lit("")), consistent))
 
 
