@@ -40,7 +40,8 @@ def conflicts(rows: DataFrame, attributes: list[str], unknown: dict[str, list[st
         clash = known.groupBy(*others).agg(F.min(a).alias("_lo"), F.max(a).alias("_hi")).where("_lo != _hi")
         clash = clash.select(*[F.col(x).alias(f"_c_{x}") for x in others], F.lit(a).alias(f"_clash_{a}"))
         on = reduce(lambda l, r: l & r, [F.col(x).eqNullSafe(F.col(f"_c_{x}")) for x in others])
-        out = out.join(clash, on, "left").drop(*[f"_c_{x}" for x in others])
+        own = F.col(a).isNotNull() & ~F.col(a).isin(*unknown[a])  # a missing value does not contradict
+        out = out.join(clash, on & own, "left").drop(*[f"_c_{x}" for x in others])
         flags.append(f"_clash_{a}")
     return out.withColumn("conflicts", F.concat_ws(", ", *flags)).drop(*flags)
 

@@ -89,8 +89,8 @@ def dedup_excluded(spark: SparkSession, d: str) -> DataFrame:
     f"""WITH {READINGS}, lines AS (SELECT {_KEY}, sum(qty)::BIGINT AS quantity FROM included GROUP BY ALL),
     c AS (SELECT device, rating, pole FROM lines WHERE curve != 'Not specified' GROUP BY ALL HAVING count(DISTINCT curve) > 1),
     p AS (SELECT device, rating, curve FROM lines WHERE pole NOT IN ('Not specified', 'Unclear') GROUP BY ALL HAVING count(DISTINCT pole) > 1)
-    SELECT l.*, concat_ws(', ', CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.device = l.device AND c.rating IS NOT DISTINCT FROM l.rating AND c.pole = l.pole) THEN 'curve' END,
-      CASE WHEN EXISTS (SELECT 1 FROM p WHERE p.device = l.device AND p.rating IS NOT DISTINCT FROM l.rating AND p.curve = l.curve) THEN 'pole' END) AS conflicts FROM lines l"""
+    SELECT l.*, concat_ws(', ', CASE WHEN l.curve != 'Not specified' AND EXISTS (SELECT 1 FROM c WHERE c.device = l.device AND c.rating IS NOT DISTINCT FROM l.rating AND c.pole = l.pole) THEN 'curve' END,
+      CASE WHEN l.pole NOT IN ('Not specified', 'Unclear') AND EXISTS (SELECT 1 FROM p WHERE p.device = l.device AND p.rating IS NOT DISTINCT FROM l.rating AND p.curve = l.curve) THEN 'pole' END) AS conflicts FROM lines l"""
 )
 def spec_conflicts(spark: SparkSession, d: str) -> DataFrame:
     """Lines that agree with others in all but one attribute, of which both have known values."""
