@@ -57,13 +57,13 @@ def capacities(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 def mix(sizes: DataFrame, targets: DataFrame, budget: int | None = None, seed: int = 17, buckets: int = BUCKETS) -> DataFrame:
     """``id, source, use, n_tokens, finish, tokens_so_far`` of the mix. sizes: ``id, source, n_tokens``; targets:
     ``source, target_share, max_repeats`` (one row a source: the number of sources bounds what is broadcast)."""
-    hint = _small(targets)
+    sizes, hint = sizes.select("id", "source", "n_tokens"), _small(targets)
     caps = capacities(sizes, targets)
     if budget is not None:
         caps = caps.withColumn("budget", F.lit(budget).cast("bigint"))
-    order = F.xxhash64("id", F.lit(seed))
+    order = F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 1)
     own = sizes.where("n_tokens > 0").join(hint(caps), "source").withColumn("_order", order)
-    own = own.withColumn("_bucket", F.shiftrightunsigned("_order", 32) % F.lit(buckets))
+    own = own.withColumn("_bucket", F.shiftright(F.shiftright("_order", 32) * F.lit(buckets), 31))  # a range of the order
     base = _before(own, ["source"], "_bucket", "n_tokens")
     inside = Window.partitionBy("source", "_bucket").orderBy("_order", "id").rowsBetween(Window.unboundedPreceding, 0)
     queued = own.withColumn("_inside", F.sum("n_tokens").over(inside)).join(hint(base), ["source", "_bucket"])
