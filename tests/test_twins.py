@@ -1,9 +1,9 @@
 import importlib
 
 import pytest
-from twins import assert_twin, connect
+from tests.twins import assert_twin, connect
 
-MODULES = ["tallyforge.plans.record_queries", "tallyforge.plans.takeoff_queries", "tallyforge.plans.parse_queries"]
+MODULES = ["tallyforge.plans.record_queries", "tallyforge.plans.takeoff_queries", "tallyforge.plans.parse_queries", "tallyforge.plans.table_queries"]
 CASES = [(m, n) for m in MODULES for n in importlib.import_module(m).QUERIES]
 
 
