@@ -19,13 +19,14 @@ def page_quality(text: Column, expected_type: Column, order_errors: Column | Non
 
     def measured(t: Column) -> Column:
         n = F.greatest(F.lit(1), F.length(t))
+        of = lambda kind: F.length(t) - F.length(F.regexp_replace(t, kind, ""))  # noqa: E731  no array of matches is built
         tokens = F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9][A-Za-z0-9+&./-]*"), F.lit(0))
         return F.struct(
             F.length(t).alias("characters"),
             F.size(F.split(t, "\n")).alias("lines"),
-            (F.regexp_count(t, F.lit(r"[\n\t]|[^\x00-\x1F�]")) / n).alias("printable"),
-            (F.regexp_count(t, F.lit(r"[A-Za-z0-9]")) / n).alias("alphanumeric"),
-            F.regexp_count(t, F.lit("�")).alias("corrupt"),
+            ((F.length(t) - of(r"[\x00-\x08\x0B-\x1F�]+")) / n).alias("printable"),
+            (of(r"[A-Za-z0-9]+") / n).alias("alphanumeric"),
+            of("�+").alias("corrupt"),
             F.size(tokens).alias("tokens"),
             F.size(F.filter(tokens, lambda x: F.length(x) == 1)).alias("single"),
             detect.signals(t).alias("signals"),
