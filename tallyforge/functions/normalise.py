@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.functions.patterns import collapsed, count, first, first_rule, has, let, number, rx, text
+from tallyforge.functions.patterns import collapsed, first, first_rule, has, let, number, rx, text
 
 NOT_SPECIFIED, UNCLEAR = "Not specified", "Unclear"
 
@@ -48,11 +48,7 @@ LONG_NAMES = (
 
 def norm_board(ref: Column) -> Column:
     """Upper case without blanks, dots, underscores, slashes and hyphens."""
-    return F.regexp_replace(F.upper(spaced_text(ref)), r"[\s._/-]+", "")
-
-
-def spaced_text(c: Column) -> Column:
-    return text(c)
+    return F.regexp_replace(F.upper(text(ref)), r"[\s._/-]+", "")
 
 
 def norm_loose(c: Column) -> Column:
@@ -183,6 +179,3 @@ def three_type(page_type: Column) -> Column:
         .otherwise("other")
     )
 
-
-def word_hits(c: Column, pattern: str) -> Column:
-    return count(c, pattern)
