@@ -132,10 +132,10 @@ def qualification_sheet(report: DataFrame) -> DataFrame:
 
 
 def source_pages(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, pages``: documents with their pages in natural order, as one text."""
-    pages = rows.where("page IS NOT NULL").groupBy(*keys, "file_id").agg(F.array_sort(F.collect_set("page")).alias("p"))
-    named = pages.withColumn("t", F.concat(F.coalesce("file_id", F.lit("Not specified")), F.lit(" p"), F.array_join(F.transform("p", lambda x: x.cast("string")), ", p")))
-    return named.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_list("t")), "; ").alias("pages"))
+    """``keys, document, pages``: the pages of each document in order, as one text."""
+    document = F.coalesce("file_id", F.lit("Not specified")).alias("document")
+    pages = rows.where("page IS NOT NULL").groupBy(*keys, document).agg(F.array_sort(F.collect_set("page")).alias("p"))
+    return pages.select(*keys, "document", F.concat(F.lit("p"), F.array_join(F.transform("p", lambda x: x.cast("string")), ", p")).alias("pages"))
 
 
 def equipment_model(rows: DataFrame) -> DataFrame:

@@ -141,11 +141,11 @@ def audit_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {READINGS}, p AS (SELECT device, file_id, 'x' AS x, coalesce(file_id, 'Not specified') || ' p' || array_to_string(list_sort(list(DISTINCT page)), ', p') AS s FROM included WHERE page IS NOT NULL GROUP BY device, file_id)
-    SELECT device, array_to_string(list_sort(list(s)), '; ') AS pages FROM p GROUP BY device"""
+    f"""WITH {READINGS} SELECT device, coalesce(file_id, 'Not specified') AS document, 'p' || array_to_string(list_sort(list(DISTINCT page)), ', p') AS pages
+    FROM included WHERE page IS NOT NULL GROUP BY 1, 2"""
 )
 def source_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and pages behind each device family."""
+    """Pages of each document behind each device family."""
     return R.source_pages(_rows(spark, d), ["device"])
 
 
@@ -169,15 +169,14 @@ def reconcile_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {READINGS}, x AS (SELECT *, row_number() OVER (ORDER BY 1) FROM included)
-    SELECT project_id, board, way, phase, string_agg(device, ' > ' ORDER BY rec_id) AS devices, count(*) AS n_rows FROM included WHERE way IS NOT NULL AND board != '' GROUP BY ALL HAVING count(DISTINCT device) > 1"""
+    f"""WITH {READINGS} SELECT project_id, board, way, phase, array_to_string(list_sort(list(DISTINCT device)), ' / ') AS devices, count(*) AS n_rows
+    FROM included WHERE way IS NOT NULL AND board != '' GROUP BY ALL HAVING count(DISTINCT device) > 1"""
 )
 def same_circuit(spark: SparkSession, d: str) -> DataFrame:
-    """Circuits read with different devices, in order of reading."""
+    """Circuits read with different devices."""
     rows = _rows(spark, d).where("way IS NOT NULL AND board != ''")
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rec_id", "device"))), lambda x: x["device"]), " > ")
-    out = rows.groupBy("project_id", "board", "way", "phase").agg(listed.alias("devices"), F.count("*").alias("n_rows"), F.count_distinct("device").alias("n"))
-    return out.where("n > 1").drop("n")
+    seen = rows.groupBy("project_id", "board", "way", "phase").agg(F.collect_set("device").alias("seen"), F.count("*").alias("n_rows")).where(F.size("seen") > 1)
+    return seen.select("project_id", "board", "way", "phase", F.array_join(F.array_sort("seen"), " / ").alias("devices"), "n_rows")
 
 
 # --- coverage -------------------------------------------------------------------------------------------------------
@@ -301,9 +300,6 @@ def merge_parents(spark: SparkSession, d: str) -> DataFrame:
     return crosscheck.upsert(own, _best_feeds(spark, d), ["child"], "parent", "score").withColumn("score", F.round("score", 6))
 
 
-_REFS = lambda source, fields: f"SELECT project_id, {_NORM('ref' if source == 'boards' else 'to_ref')} AS board, {fields}"
-
-
 @query(
     f"""WITH r AS (SELECT *, project_id || '|' || {_NORM('ref')} AS board, {got('incomer_rating_a', '(\\d+(?:\\.\\d+)?)')}::DOUBLE AS rating, {t('phase_config')} AS phases FROM boards),
     o AS (SELECT board, rating, phases FROM r WHERE NOT continuation QUALIFY row_number() OVER (PARTITION BY board ORDER BY board_id) = 1),
@@ -394,14 +390,12 @@ def board_labels(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""WITH {READINGS}, d AS (SELECT DISTINCT board FROM included), k AS (SELECT board, array_to_string(list_transform(regexp_extract_all(lower(board), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 12, '0') ELSE x END), '') AS key FROM d WHERE regexp_full_match(board, '[ -~]+'))
-    SELECT board, row_number() OVER (ORDER BY key, board) AS place FROM k"""
+    SELECT board, key FROM k"""
 )
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
-    """Boards in natural order: numbers inside refs by value."""
-    from pyspark.sql import Window
-
+    """Boards in natural order, numbers inside refs by value: a range sort of the key."""
     boards = _rows(spark, d).select("board").distinct().where(F.col("board").rlike(r"^[ -~]+\z"))
-    return boards.select("board", F.row_number().over(Window.orderBy(natural_key(F.col("board")), "board")).cast("bigint").alias("place"))
+    return boards.select("board", natural_key(F.col("board")).alias("key")).orderBy("key", "board")
 
 
 @query(

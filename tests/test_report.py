@@ -76,3 +76,11 @@ def test_results_and_streams(spark, tmp_path):
     stream = ingest.once(ingest.arriving(spark, str(tmp_path / "in"), "id int, at timestamp"), ["id"], "at")
     ingest.append_to(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2]
+
+
+def test_fingerprint(spark):
+    s = "id int, b string, w int, ph string, f string, p int, box array<double>, line int, src string"
+    df = spark.createDataFrame([(1, "DB1", 3, "L1", "f", 1, None, 1, "x"), (2, "DB1", 3, None, "f", 2, [1.0, 2.0], 9, "y"), (3, "", 3, "L1", "f", 1, [1.04, 2.0], 1, "x"), (4, None, None, None, None, None, None, None, None)], s)
+    c = F.col
+    got = [r[0] for r in df.orderBy("id").select(dedup.fingerprint(c("b"), c("w"), c("ph"), F.lit("MCB"), c("f"), c("p"), c("box"), c("line"), c("src"))).collect()]
+    assert got == ["circuit|DB1|3|L1|MCB", "circuit|DB1|3||MCB", "region|f|1|1.0,2.0|MCB", "source||||"]
