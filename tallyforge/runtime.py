@@ -3,16 +3,34 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LIVE: set[tuple[int, str]] = set()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once a session, so that they need no path to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tallyforge_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    name = os.path.join(tempfile.mkdtemp(prefix="tallyforge-"), f"tallyforge_{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(name)  # the driver serves the file to executors, also to those that start later
+    sc._tallyforge_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
