@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import normalise as N
 from tallyforge.functions.patterns import natural_key
+from tallyforge.functions.refs import consistent_form
 from tallyforge.operators import consolidate as C
 from tallyforge.operators import coverage, crosscheck, dedup, sequences
 from tallyforge.plans import report as R
@@ -393,11 +394,20 @@ def board_labels(spark: SparkSession, d: str) -> DataFrame:
     SELECT board, key FROM k"""
 )
 def natural_order(spark: SparkSession, d: str) -> DataFrame:
-    """Boards in natural order, numbers inside refs by value: a range sort of the key."""
+    """Boards of printable ASCII in natural order, numbers inside refs by value: a range sort of the key. Its twin names
+    these only; ``natural_order_all`` has every board."""
     boards = _rows(spark, d).select("board").distinct().where(F.col("board").rlike(r"^[ -~]+\z"))
     return boards.select("board", natural_key(F.col("board")).alias("key")).orderBy("key", "board")
 
 
+@query()
+def natural_order_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every board of the rows that count, in natural order; the key is that of the ref's consistent form, so styled
+    digits count as numbers. A row without a ref has no board."""
+    boards = _rows(spark, d).select("board").distinct().where("board != ''")
+    return boards.select("board", natural_key(consistent_form(F.col("board"))).alias("key")).orderBy("key", "board")
+
+
 @query(
     f"""WITH f AS (SELECT DISTINCT * FROM feeds) SELECT {t('cable_csa_mm2')} AS csa, {t('cable_cpc_mm2')} AS cpc, {t('cable_desc')} AS cable, count(*) AS n_feeds, count(DISTINCT project_id) AS n_projects FROM f GROUP BY ALL"""
 )
