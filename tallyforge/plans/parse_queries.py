@@ -1,14 +1,15 @@
 """Queries of the parsers and page operators, and their SQL twins. Where the tables hold no texts of a kind, the samples
-serve, and the twin states the rows they say."""
+serve, and the twin states the rows they say. Curves, capacities and board refs are in the tables as well: ``device_curves``
+and ``page_board_refs`` read them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.functions import detect, quality
+from tallyforge.functions import detect, quality, refs
 from tallyforge.functions import normalise as N
-from tallyforge.functions.patterns import collapsed
+from tallyforge.functions.patterns import collapsed, first
 from tallyforge.operators import classify, spatial
 from tallyforge.plans import parse, samples
 from tallyforge.plans import report as R
@@ -78,14 +79,14 @@ def misread_corrections(spark: SparkSession, d: str) -> DataFrame:
 
 @query(values(samples.CURVES_FOUND, "id curve ka", "BIGINT VARCHAR DOUBLE"))
 def curve_and_capacity(spark: SparkSession, d: str) -> DataFrame:
-    """Tripping curves and breaking capacities that texts name."""
+    """Tripping curves and breaking capacities that the sample texts name; ``device_curves`` reads the device table."""
     rows = spark.createDataFrame(samples.CURVES, "id bigint, text string")
     return rows.select("id", detect.tripping_curve(F.col("text"))["value"].alias("curve"), detect.breaking_capacity(F.col("text")).alias("ka"))
 
 
 @query(values(samples.BOARD_KEYS, "id key", "BIGINT VARCHAR"))
 def board_refs_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """Refs of boards in sentences."""
+    """Refs of boards in the sample sentences; ``page_board_refs`` reads the page table."""
     rows = spark.createDataFrame(samples.BOARD_LINES, "id bigint, text string")
     return rows.select("id", F.explode(detect.board_refs(F.col("text"))).alias("b")).select("id", "b.key")
 
@@ -100,6 +101,43 @@ def protection_legend(spark: SparkSession, d: str) -> DataFrame:
     return page.select("code", "v.device", "v.curve", "v.sens", "v.source")
 
 
+# --- texts of the tables, by the rules that the samples show ---------------------------------------------------------
+
+
+#: A line that is a label and a ref of one or two words; longer ones are sentences.
+_BOARD_LABEL = r"^\s*board\s+(?:reference|identity)\s*[:\-]?\s+(\S+(?: [^\s(]\S*)?)(?:\s*\(continued\))?\s*$"
+
+
+def _device_texts(spark: SparkSession, d: str) -> DataFrame:
+    """``rec_id, field_name, text``: the two texts of each device."""
+    fields = F.array(*[F.struct(F.lit(c).alias("field_name"), F.col(c).alias("text")) for c in ("device_class", "description")])
+    return table(spark, d, "devices").select("rec_id", F.explode(fields).alias("f")).select("rec_id", "f.field_name", collapsed(F.col("f.text")).alias("text"))
+
+
+def _page_lines(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "schedule_pages").where("text IS NOT NULL")
+    return pages.select("file_id", "page", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+
+
+@query()
+def device_curves(spark: SparkSession, d: str) -> DataFrame:
+    """Tripping curves and breaking capacities that classes and descriptions of devices name; texts without either have no row."""
+    found = _device_texts(spark, d).select("rec_id", "field_name", detect.tripping_curve(F.col("text"))["value"].alias("curve"), detect.breaking_capacity(F.col("text")).alias("ka"))
+    return found.where("curve IS NOT NULL OR ka IS NOT NULL")
+
+
+@query()
+def page_board_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Refs of boards on pages by board key, once a page: what a line labels as its board, in any script; refs in other lines
+    by the patterns, which know ASCII refs only."""
+    plain = _page_lines(spark, d).withColumn("text", F.translate("text", *refs.plain_table()))
+    label = first(F.col("text"), _BOARD_LABEL)
+    lines = plain.withColumn("label", F.when(label.rlike(r"[\p{Nd}/-]"), label))
+    labelled = lines.where("label IS NOT NULL").select("file_id", "page", refs.board_key(F.col("label")).alias("key")).where("key IS NOT NULL")
+    other = lines.where("label IS NULL").select("file_id", "page", F.explode(detect.board_refs(F.col("text"))).alias("b")).select("file_id", "page", "b.key")
+    return labelled.unionByName(other).distinct()
+
+
 # --- pages ----------------------------------------------------------------------------------------------------------
 
 _N_P = lambda p: f"len(regexp_extract_all(text, '{p}'))"
