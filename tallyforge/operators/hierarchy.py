@@ -81,8 +81,9 @@ class Forest:
         )
 
 
-def forest(links: DataFrame, peel_rounds: int = 16) -> Forest:
-    """Builds the forest of ``links`` (``scope, child, parent``)."""
+def forest(links: DataFrame, peel_rounds: int = 16, lone: DataFrame | None = None) -> Forest:
+    """Builds the forest of ``links`` (``scope, child, parent``). lone: ``scope, key`` of nodes that may have no link; those
+    without one are roots of depth 0."""
     clean = (
         links.where("child IS NOT NULL AND parent IS NOT NULL")
         .select(F.coalesce("scope", F.lit("")).alias("scope"), "child", "parent")
@@ -90,7 +91,10 @@ def forest(links: DataFrame, peel_rounds: int = 16) -> Forest:
         .agg(F.min("parent").alias("parent"))
     )
     clean = materialise(clean, "links")
-    names = clean.select("scope", F.col("child").alias("key")).union(clean.select("scope", "parent")).distinct()
+    names = clean.select("scope", F.col("child").alias("key")).union(clean.select("scope", "parent"))
+    if lone is not None:
+        names = names.union(lone.where("key IS NOT NULL").select(F.coalesce("scope", F.lit("")), "key"))
+    names = names.distinct()
     names = materialise(names.withColumn("id", F.monotonically_increasing_id()), "names")
     c, p = names.alias("c"), names.alias("p")
     edges = (

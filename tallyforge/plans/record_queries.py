@@ -47,7 +47,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    out = hierarchy.forest(_links(spark, d)).paths()
+    boards = table(spark, d, "boards").select(F.col("project_id").alias("scope"), R.board_key(F.col("ref")).alias("key"))
+    out = hierarchy.forest(_links(spark, d), lone=boards).paths()
     return out.select(F.col("scope").alias("project_id"), F.col("node").alias("board"), "root", "depth", "path", "n_below", "on_circle")
 
 
