@@ -51,11 +51,6 @@ def norm_board(ref: Column) -> Column:
     return F.regexp_replace(F.upper(text(ref)), r"[\s._/-]+", "")
 
 
-def norm_loose(c: Column) -> Column:
-    """The cross-check key: dots stay."""
-    return F.regexp_replace(F.upper(text(c)), r"[\s\-_/]+", "")
-
-
 def canonical_board(ref: Column) -> Column:
     """struct(display, norm, section): separators as single hyphens; a trailing LP, L or P behind a numbered DB ref is
     split off as the section."""
@@ -160,11 +155,6 @@ def assisted_device(value: Column) -> Column:
     )
 
 
-def extraction_method(method: Column, kind: Column, ocr: Column) -> Column:
-    named = F.nullif(text(method), F.lit(""))
-    return F.coalesce(named, F.when(kind.isin("ai", "manual"), kind), F.when(ocr, "ocr"), F.lit("embedded text"))
-
-
 def safe_file_name(value: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text(value), r'[<>:"/\\|?*\x00-\x1f]+', "-"), r"\s+", " ")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterable
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,8 +63,27 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+@cache
+def accents() -> tuple[str, str]:
+    """(source, target) for ``translate``: Latin letters with marks and their base letters."""
+    letters = [chr(cp) for lo, hi in ((0xC0, 0x250), (0x1E00, 0x1F00)) for cp in range(lo, hi)]
+    base = {c: unicodedata.normalize("NFD", c)[0] for c in letters}
+    pairs = [(c, b) for c, b in base.items() if b != c and b.isascii()]
+    return "".join(c for c, _ in pairs), "".join(b for _, b in pairs)
+
+
+#: Digits to which numbers are filled up in natural keys; longer ones stand behind all others, by length.
+DIGITS = 12
+
+
 def natural_key(c: Column) -> Column:
-    """A key under which numbers inside texts sort by value, apart from case and accents (12 digits at most)."""
-    folded = F.lower(F.translate(text(c), "ÀÁÂÃÄÅÈÉÊËÌÍÎÏÒÓÔÕÖÙÚÛÜÇÑàáâãäåèéêëìíîïòóôõöùúûüçñ", "AAAAAAEEEEIIIIOOOOOUUUUCNaaaaaaeeeeiiiiooooouuuucn"))
+    """A key under which numbers inside texts sort by value, apart from case and the accents of Latin letters."""
+    folded = F.lower(F.translate(text(c), *accents()))
     parts = F.regexp_extract_all(folded, F.lit(r"\d+|\D+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 12, "0")).otherwise(p)), "")
+
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(p, "^0+", "")
+        longer = F.concat(F.lit(":"), F.lpad(F.length(digits).cast("string"), 6, "0"), digits)
+        return F.when(~p.rlike(r"^\d"), p).when(F.length(digits) > DIGITS, longer).otherwise(F.lpad(digits, DIGITS, "0"))
+
+    return F.array_join(F.transform(parts, part), "")

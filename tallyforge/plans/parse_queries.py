@@ -144,9 +144,9 @@ _N_P = lambda p: f"len(regexp_extract_all(text, '{p}'))"
 
 
 def _score_sql(core: bool) -> str:
-    base = {k: [] for k in classify.ORDER}
-    for kind, weight, pattern in classify.WORDS:
-        base[kind].append(f"CASE WHEN regexp_matches(lower(text), {q(pattern)}) THEN {weight or (7 if core else 6)} ELSE 0 END")
+    base = {k: [] for k in classify.TYPES}
+    for kind, (by_codes, by_ways, pattern) in classify.SINGLE.items():
+        base[kind].append(f"CASE WHEN regexp_matches(lower(text), {q(pattern)}) THEN {by_codes if core else by_ways} ELSE 0 END")
     base["legend"].append("CASE WHEN regexp_matches(lower(text), '\\blegend\\b') AND regexp_matches(lower(text), 'symbol|description|abbrev') THEN 5 ELSE 0 END")
     base["db-schedule"].append(f"CASE WHEN {_N_P('(?im)^\\s*(?:\\d{1,3}\\s+)?(?:L[123]\\s+)?\\d+(?:\\.\\d+)?\\s+[JKLMN]\\s+[BCD]\\b[^\\n]*\\b(?:Ri|Ra)\\s+[LP]\\b')} >= 2 AND {_N_P('\\bL[123]\\b')} >= 3 THEN 9 ELSE 0 END")
     if core:
@@ -168,11 +168,12 @@ def _score_sql(core: bool) -> str:
 
 
 def _typed(spark: SparkSession, d: str, core: bool) -> DataFrame:
-    pages = table(spark, d, "schedule_pages").withColumn("text", F.coalesce("text", F.lit("")))
-    boards = F.size(detect.board_refs(F.col("text"))) if core else None
-    scored = classify.scores(F.col("text"), (F.col("page") == 1) & (F.col("page_count") > 1), F.col("page") == 1, boards, core)
-    kind, sure = classify.classified({k: F.col(f"_{k}") for k in scored}, 0.06 if core else 0.08)
-    return pages.withColumns({f"_{k}": c for k, c in scored.items()}).select("file_id", "page", kind.alias("kind"), sure.cast("double").alias("confidence"))
+    pages = table(spark, d, "schedule_pages")
+    text = F.coalesce("text", F.lit(""))
+    named = detect.has(text, "mccb|fuse|cable|connected from|connected to")  # only then the number of boards counts
+    boards = F.when(named, F.size(detect.board_refs(text))) if core else None
+    kind = classify.classified(text, F.col("page"), F.col("page_count"), boards, core)
+    return pages.select("file_id", "page", kind.alias("k")).select("file_id", "page", "k.kind", "k.confidence")
 
 
 @query(_score_sql(True))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import normalise as N
-from tallyforge.functions.patterns import natural_key
+from tallyforge.functions.patterns import DIGITS, accents, natural_key
 from tallyforge.functions.refs import consistent_form
 from tallyforge.operators import consolidate as C
 from tallyforge.operators import coverage, crosscheck, dedup, sequences
 from tallyforge.plans import report as R
+from tallyforge.plans.record_queries import sql_keys
 from tallyforge.plans.sqltext import READINGS, got, q, t
 from tallyforge.runtime import table
 
@@ -389,21 +390,15 @@ def board_labels(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("board").agg(pick.alias("label"), F.count("*").alias("n_rows"))
 
 
-@query(
-    f"""WITH {READINGS}, d AS (SELECT DISTINCT board FROM included), k AS (SELECT board, array_to_string(list_transform(regexp_extract_all(lower(board), '\\d+|\\D+'), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 12, '0') ELSE x END), '') AS key FROM d WHERE regexp_full_match(board, '[ -~]+'))
-    SELECT board, key FROM k"""
-)
-def natural_order(spark: SparkSession, d: str) -> DataFrame:
-    """Boards of printable ASCII in natural order, numbers inside refs by value: a range sort of the key. Its twin names
-    these only; ``natural_order_all`` has every board."""
-    boards = _rows(spark, d).select("board").distinct().where(F.col("board").rlike(r"^[ -~]+\z"))
-    return boards.select("board", natural_key(F.col("board")).alias("key")).orderBy("key", "board")
+_DIGITS = "regexp_replace(x, '^0+', '')"
+_NATURAL = f"""array_to_string(list_transform(regexp_extract_all(lower(translate(form, {q(accents()[0])}, {q(accents()[1])})), '\\d+|\\D+'), lambda x: CASE WHEN NOT regexp_matches(x, '^\\d') THEN x
+      WHEN length({_DIGITS}) > {DIGITS} THEN ':' || lpad(length({_DIGITS})::VARCHAR, 6, '0') || {_DIGITS} ELSE lpad({_DIGITS}, {DIGITS}, '0') END), '')"""
 
 
-@query()
-def natural_order_all(spark: SparkSession, d: str) -> DataFrame:
-    """Every board of the rows that count, in natural order; the key is that of the ref's consistent form, so styled
-    digits count as numbers. A row without a ref has no board."""
+@query(f"WITH {READINGS}, {sql_keys('SELECT board AS r FROM included')} SELECT r AS board, {_NATURAL} AS key FROM keys WHERE r != ''")
+def natural_order(spark: SparkSession, d: str) -> DataFrame:
+    """Every board of the rows that count, numbers inside refs by value: a range sort of the key. The key is that of the ref's
+    consistent form, so styled digits count as numbers. A row without a ref has no board."""
     boards = _rows(spark, d).select("board").distinct().where("board != ''")
     return boards.select("board", natural_key(consistent_form(F.col("board"))).alias("key")).orderBy("key", "board")
 
