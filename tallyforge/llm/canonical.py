@@ -1,14 +1,19 @@
 """Mapping of free entries to the closest entry of a reference list; what no entry fits is reported as term 0.
 
 The words of all reference spellings go into a symmetric-delete dictionary: each word under itself and under every
-string left when one letter is deleted. A typed word finds all words within one edit by looking up itself and its own
-deletes. Runs of typed words, each as typed or corrected, are then looked up among the spellings; the best run has most
-letters less the weighted Damerau-Levenshtein cost of its corrections, then the greatest reference frequency (rows
-that hold just this spelling, counted over all rows), then the smallest id. Words around it (places, counts,
-ratings, remarks) do not matter.
+string left when some of its letters are deleted. A typed word finds all words within the edits allowed by looking up
+itself and its own deletes. It may also stand for a word that it abbreviates (its first letters, or its first letter and
+some of its consonants in order), and for a whole spelling by the initials of its words. Runs of typed words, each as
+typed, corrected or written out, are then looked up among the spellings; the best run has most letters less the
+weighted Damerau-Levenshtein cost of its corrections, then the greatest reference frequency (rows that hold just this
+spelling, counted over all rows), then the smallest id. Words around it (places, counts, ratings, remarks) do not matter.
 
-The dictionary is broadcast in blocks of at most ``BLOCK_ENTRIES`` spellings; a longer list is matched block after block,
-the best so far going along with the row. Rows are never shuffled or joined.
+The score of a spelling depends on the value and that spelling only, so the result is the same in however many broadcast
+blocks of ``BLOCK_ENTRIES`` spellings the list goes; a longer list is matched block after block within one scan, the best
+so far going along with the row. Rows are never shuffled or joined.
+
+Parameters: ``edits``, the edits allowed from which word length on (``EDITS``); ``abbreviations``, whether abbreviated words
+count. A word shorter than the least length in ``edits`` is matched as typed or as an abbreviation only.
 
 Defined results: null and blank values give no row. A field without entries gives term 0. Ids of terms must be positive.
 Repeated rows each come out; very long values are matched whole.
@@ -26,12 +31,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.runtime import materialise, release
+
 #: Spellings in one broadcast dictionary.
 BLOCK_ENTRIES = 20_000
-#: Words of fewer letters are matched as typed only.
-LEAST_FUZZY = 5
+#: (letters of a reference word, edits): words of so many letters or more may be typed with so many edits.
+EDITS = ((5, 1), (9, 2))
 #: Letters a correction of cost 1 must outweigh.
 PENALTY = 1.5
+#: Least letters of an abbreviation, and what it counts less than its letters.
+LEAST_SHORT, SHORT = 3, 0.5
+#: Letters of a spelling that are not in the value weigh so much against those that are; words of a spelling in another order
+#: than its own, or apart, cost so many letters.
+MISSING, SCATTERED = 1.0, 0.25
+#: Endings apart from which words are the same, where so many letters are left; how much less they count.
+_ENDINGS, LEAST_STEM, STEM = ("ing", "ers", "er", "ed", "es", "s"), 4, 0.5
+#: Words that initials pass over.
+_SMALL = frozenset("a an and by for in of on the to with".split())
 #: Values whose match a worker keeps.
 CACHE = 200_000
 
@@ -66,69 +82,129 @@ def cost(typed: str, word: str) -> float:
     return rows[n][m]
 
 
-def deletes(word: str) -> set[str]:
-    return {word} | {word[:i] + word[i + 1 :] for i in range(len(word))}
+def deletes(word: str, edits: int = 1) -> set[str]:
+    """The word, and what is left of it without up to ``edits`` letters."""
+    found = last = {word}
+    for _ in range(edits):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
+    return found
 
 
-def within_one(a: str, b: str) -> bool:
-    """One insertion, deletion, substitution or swap of neighbours at most."""
-    if a == b:
-        return True
-    if abs(len(a) - len(b)) > 1:
+def distance(a: str, b: str) -> int:
+    """Insertions, deletions, substitutions and swaps of neighbours between two words (no letter edited twice)."""
+    before, row = [], list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        older, before, row = before, row, [i]
+        for j, y in enumerate(b, 1):
+            best = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                best = min(best, older[j - 2] + 1)
+            row.append(best)
+    return row[len(b)]
+
+
+def abbreviates(short: str, word: str) -> bool:
+    """First letters of the word, at least two fewer; or its first letter and some of its consonants in order."""
+    if not LEAST_SHORT <= len(short) <= len(word) - 2 or short[0] != word[0] or not short.isalpha():
         return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    if len(a) == len(b):
-        return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
-    return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
+    if word.startswith(short):
+        return True
+    rest = iter(word[1:])
+    return not set(short[1:]) & set("aeiou") and all(c in rest for c in short[1:])
+
+
+def stem(word: str) -> str:
+    """A word without its ending."""
+    return next((word[: -len(e)] for e in _ENDINGS if word.endswith(e) and len(word) - len(e) >= LEAST_STEM), word)
 
 
 class Dictionary:
     """Spellings of one field: (words, term id, frequency)."""
 
-    def __init__(self, entries: list[tuple[tuple[str, ...], int, int]]) -> None:
+    def __init__(self, entries: list[tuple[tuple[str, ...], int, int]], edits: tuple[tuple[int, int], ...] = EDITS, abbreviations: bool = True) -> None:
         self.phrases: dict[tuple[str, ...], tuple[int, int]] = {}
         for phrase, term, freq in entries:
             if phrase:
                 self.phrases[phrase] = max(self.phrases.get(phrase, (-1, 0)), (freq, -term))
-        self.longest = max(map(len, self.phrases), default=0)
+        self.edits = edits
+        self.most = max((n for _, n in edits), default=0)
+        self.least = min((least - n for least, n in edits), default=0)
+        self.abbreviations = abbreviations
         self.known = {w for p in self.phrases for w in p}
+        self.longest = max(map(len, self.known), default=0)
         self.near: dict[str, list[str]] = defaultdict(list)
+        self.by_first: dict[str, list[str]] = defaultdict(list)
         for w in self.known:
-            if len(w) >= LEAST_FUZZY:
-                for d in deletes(w):
+            self.by_first[w[0]].append(w)
+            if n := self.allowed(w):
+                for d in deletes(w, n):
                     self.near[d].append(w)
-        self.starts: dict[str, int] = {}
-        for p in self.phrases:
-            self.starts[p[0]] = max(self.starts.get(p[0], 0), len(p))
-
-    def options(self, typed: str) -> list[tuple[str, float]]:
-        """Known words that a typed word may stand for, with costs."""
-        if typed in self.known:
-            return [(typed, 0.0)]
-        if len(typed) < LEAST_FUZZY - 1:
-            return []
-        return [(w, cost(typed, w)) for w in {w for d in deletes(typed) for w in self.near.get(d, ())} if within_one(typed, w)]
+        self.within: dict[str, list[tuple[str, ...]]] = defaultdict(list)
+        self.by_stem: dict[str, list[str]] = defaultdict(list)
+        for w in self.known:
+            self.by_stem[stem(w)].append(w)
+        self.initials: dict[str, tuple[int, int]] = {}
+        self.short = {p[0]: hit for p, hit in self.phrases.items() if abbreviations and len(p) == 1 and len(p[0]) >= LEAST_SHORT}
+        self.lengths = sorted({len(w) for w in self.short})
+        for p, hit in self.phrases.items():
+            for w in set(p):
+                self.within[w].append(p)
+            if abbreviations and len(p) >= LEAST_SHORT:
+                short = "".join(w[0] for w in p)
+                self.initials[short] = max(self.initials.get(short, (-1, 0)), hit)
+        self.kept: dict[str, dict[str, float]] = {}
+
+    def allowed(self, word: str) -> int:
+        return max((n for least, n in self.edits if len(word) >= least), default=0)
+
+    def options(self, typed: str) -> dict[str, float]:
+        """Reference words that a typed word may stand for, with the letters that each counts for."""
+        found = self.kept.get(typed)
+        if found is None:
+            found = self.kept[typed] = {typed: float(len(typed))} if typed in self.known else {}
+            if self.least <= len(typed) <= self.longest + self.most:  # others are within no word's edits
+                for w in {w for d in deletes(typed, self.most) for w in self.near.get(d, ())} - {typed}:
+                    if distance(typed, w) <= self.allowed(w):
+                        found[w] = len(w) - PENALTY * cost(typed, w)
+            for w in self.by_stem.get(stem(typed), ()):
+                found[w] = max(found.get(w, 0.0), len(stem(w)) - STEM)
+            if self.abbreviations:
+                for w in self.by_first.get(typed[0], ()):
+                    if abbreviates(typed, w):
+                        found[w] = max(found.get(w, 0.0), len(typed) - SHORT)
+        return found
 
     def best(self, value: str) -> tuple[float, int, int]:
         """(score, frequency, term), term 0 if nothing fits."""
-        options = [self.options(w) for w in words(value)]
+        if len(self.kept) > CACHE:
+            self.kept.clear()
+        places: dict[str, list[tuple[int, float]]] = defaultdict(list)
         found = (0.0, -1, 0)
-        for i, first in enumerate(options):
-            runs = [((w,), c) for w, c in first if w in self.starts]
-            reach = max((self.starts[r[0][0]] for r in runs), default=0)
-            for j in range(i, min(i + reach, len(options))):
-                if j > i:
-                    runs = [(p + (w,), c + k) for p, c in runs for w, k in options[j]]
-                    if not runs:
-                        break
-                for phrase, c in runs:
-                    hit = self.phrases.get(phrase)
-                    if hit:
-                        found = max(found, (sum(map(len, phrase)) - PENALTY * c, *hit))
+        every = words(value)
+        firsts = "".join(w[0] for w in every if w not in _SMALL)
+        for run in (firsts[i : i + n] for n in self.lengths for i in range(len(firsts) - n + 1)):
+            if hit := self.short.get(run):  # a spelling of initials written out
+                found = max(found, (len(run) - SHORT, *hit))
+        for i, typed in enumerate(every):
+            if hit := self.initials.get(typed):
+                found = max(found, (len(typed) - SHORT, *hit))
+            for w, letters in self.options(typed).items():
+                places[w].append((i, letters))
+        for phrase in {p for w in places for p in self.within[w]}:
+            score = self.score(phrase, places)
+            if score > 0 and score >= found[0]:
+                found = max(found, (score, *self.phrases[phrase]))
         return found[0], found[1], -found[2]
 
+    def score(self, phrase: tuple[str, ...], places: dict[str, list[tuple[int, float]]]) -> float:
+        """The letters of a spelling that are in a value, less a part of those that are not."""
+        spots = [dict(places.get(w, ())) for w in phrase]
+        runs = [sum(hits) for i in spots[0] if None not in (hits := [spot.get(i + k) for k, w, spot in zip(range(len(phrase)), phrase, spots)])]
+        sure = [max((x for x in spot.values() if x >= len(stem(w)) - STEM), default=None) for w, spot in zip(phrase, spots)]
+        lost = sum(len(w) for w, x in zip(phrase, sure) if x is None)
+        return max([*runs, sum(x for x in sure if x is not None) - MISSING * lost - SCATTERED])
+
 
 def spellings(terms: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]]) -> DataFrame:
     """``field, term, spelling`` of a reference list (``field, term, label``): labels and their other spellings."""
@@ -139,21 +215,29 @@ def spellings(terms: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]])
     return own.unionByName(terms.join(other, ["field", "label"]).select("field", "term", "spelling"))
 
 
-def match(values: DataFrame, id_: str, fields: list[str], terms: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]]) -> DataFrame:
-    """``id_, field_name, term_id``: one row for each value of ``fields`` that is neither null nor blank."""
+def match(
+    values: DataFrame, id_: str, fields: list[str], terms: DataFrame, aliases: dict[str, dict[str, tuple[str, ...]]],
+    edits: tuple[tuple[int, int], ...] = EDITS, abbreviations: bool = True,
+) -> DataFrame:
+    """``id_, field_name, term_id``: one row for each value of ``fields`` that is neither null nor blank.
+
+    The dictionary goes to the workers, so the reference list with its frequencies is read when the query is built: one scan
+    of the values, summed by spelling, whatever the length of the list."""
     entries = spellings(terms, aliases)
-    n = entries.count()
+    n_blocks = max(1, math.ceil(entries.count() / BLOCK_ENTRIES))
     best = values.select(
         F.col(id_).alias("id"), *[F.col(f).alias(f"v{k}") for k, f in enumerate(fields)],
         *[c for k in range(len(fields)) for c in (F.lit(0.0).alias(f"s{k}"), F.lit(-1).cast("bigint").alias(f"f{k}"), F.lit(0).cast("bigint").alias(f"t{k}"))],
     )
     frequency = _frequencies(values, fields, entries)
-    n_blocks = max(1, math.ceil(n / BLOCK_ENTRIES))
+    if n_blocks > 1:
+        frequency = materialise(frequency, "frequency")
     for block in range(n_blocks):
         part = frequency.where(F.pmod(F.xxhash64("field", "spelling"), F.lit(n_blocks)) == block)
         rows = [(r.field, tuple(words(r.spelling)), r.term, r.n) for r in part.collect()]
-        books = [Dictionary([(p, t, c) for field, p, t, c in rows if field == f]) for f in fields]
+        books = [Dictionary([(p, t, c) for field, p, t, c in rows if field == f], edits, abbreviations) for f in fields]
         best = _better(best, len(fields), values.sparkSession.sparkContext.broadcast(books))
+    release(frequency)
     cells = [F.struct(F.lit(f).alias("field_name"), F.col(f"v{k}").alias("value"), F.col(f"t{k}").alias("term_id")) for k, f in enumerate(fields)]
     long = best.select("id", F.explode(F.array(*cells)).alias("c"))
     return long.where(r"c.value IS NOT NULL AND c.value RLIKE '(?U)[^\\s\\p{Cf}]'").select(F.col("id").alias(id_), "c.field_name", F.col("c.term_id").alias("term_id"))
@@ -162,12 +246,11 @@ def match(values: DataFrame, id_: str, fields: list[str], terms: DataFrame, alia
 def _frequencies(values: DataFrame, fields: list[str], entries: DataFrame) -> DataFrame:
     """``field, term, spelling, n``: the rows of the whole table that hold just the spelling, apart from case."""
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.trim(F.col(f))).alias("low")) for f in fields])).alias("c")
-    counts = values.select(cells).select("c.*").where("low IS NOT NULL").groupBy("field", "low").agg(F.count("*").alias("n"))
-    return (
-        entries.withColumn("low", F.lower(F.trim("spelling")))
-        .join(counts, ["field", "low"], "left")
-        .select("field", "term", "spelling", F.coalesce("n", F.lit(0)).alias("n"))
-    )
+    wanted = entries.withColumn("low", F.lower(F.trim("spelling")))
+    # values that no entry spells are dropped before the sums are shuffled; the list decides on its size how
+    named = values.select(cells).select("c.*").where("low IS NOT NULL").join(wanted.select("field", "low").distinct(), ["field", "low"], "left_semi")
+    counts = named.groupBy("field", "low").agg(F.count("*").alias("n"))
+    return wanted.join(counts, ["field", "low"], "left").select("field", "term", "spelling", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _better(best: DataFrame, n_fields: int, books) -> DataFrame:

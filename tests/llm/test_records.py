@@ -47,38 +47,64 @@ def test_confidence_and_way_numbers(spark):
     assert [r[0] for r in w.select(queries.way_number(F.col("w"))).collect()] == [1, 2, 3, 4, None, None, None]
 
 
-TERMS = [("f", 1, "MCB"), ("f", 2, "MCCB"), ("f", 3, "Emergency lighting"), ("f", 4, "Lighting"), ("f", 5, "Spare"), ("f", 6, "Space"), ("g", 7, "Boiler")]
+TERMS = [("f", 1, "MCB"), ("f", 2, "MCCB"), ("f", 3, "Emergency lighting"), ("f", 4, "Lighting"), ("f", 5, "Spare"), ("f", 6, "Space"), ("f", 8, "Air handling unit"), ("g", 7, "Boiler")]
 CASES = {
     "mcb": 1, "M.C.B.": 1, "16A MCCB (new)": 2, "emergsncy lighting L3": 3, "gym lihgting": 4, "emergency lightng": 3, "SPARE": 5, "space.": 6, "spice": 6, "kiln": 0, "luminaire": 4, "??": 0, "Li\xa0ghting": 0,
-    "Lighting " + "x" * 5000: 4, "ＭＣＢ": 1,
+    "Lighting " + "x" * 5000: 4, "ＭＣＢ": 1, "emergenyc lgihting": 3, "emrgncy lighting": 3, "em ltg": 4, "ltg L2": 4, "emerg. ltg": 3, "AHU 2": 8, "miniature circuit breaker": 1, "moulded case circuit breaker": 2,
+    "lights": 4, "lit": 0, "unit (air handling)": 8, "mbc": 0,
 }
 
 
-def test_mapping(spark, monkeypatch):
+@pytest.mark.parametrize("size", [20_000, 3, 1])  # in one block, and in several
+def test_mapping(spark, monkeypatch, size):
     terms = spark.createDataFrame(TERMS, "field string, term long, label string")
     rows = [(i, v, None, 1) for i, v in enumerate(CASES)] + [(100, None, "boilr", 1), (101, "  ", "", 1), (102, None, "bioler", 1), (0, "mcb", None, 1)]
     df = spark.createDataFrame(rows, "id long, f string, g string, term_id int")
     aliases = {"f": {"Lighting": ("luminaire",)}}
     want = sorted([(i, "f", t) for i, t in enumerate(CASES.values())] + [(100, "g", 7), (102, "g", 7), (0, "f", 1)])
-    for size in (20_000, 3):  # in one block, and in several
-        monkeypatch.setattr(canonical, "BLOCK_ENTRIES", size)
-        assert sorted(map(tuple, canonical.match(df, "id", ["f", "g"], terms, aliases).collect())) == want
+    monkeypatch.setattr(canonical, "BLOCK_ENTRIES", size)
+    got = sorted(map(tuple, canonical.match(df, "id", ["f", "g"], terms, aliases).collect()))
+    assert got == want
     assert canonical.match(df.where("false"), "id", ["f"], terms, aliases).count() == 0
     assert {r.term_id for r in canonical.match(df, "id", ["f"], terms.where("false"), {}).collect()} == {0}
 
 
-def test_one_edit():
+@pytest.mark.parametrize("size", [20_000, 1])
+def test_known_words_do_not_hide_others(spark, monkeypatch, size):
+    """A word that one spelling knows may stand for the word of another, in however many blocks the list goes."""
+    monkeypatch.setattr(canonical, "BLOCK_ENTRIES", size)
+    terms = spark.createDataFrame([("f", 1, "boilers house"), ("f", 2, "boiler")], "field string, term long, label string")
+    df = spark.createDataFrame([(1, "boilers"), (2, "boilers house"), (3, "boiler")], "id long, f string")
+    assert {r.id: r.term_id for r in canonical.match(df, "id", ["f"], terms, {}).collect()} == {1: 2, 2: 1, 3: 2}
+
+
+def test_edits_and_abbreviations_are_parameters(spark):
+    terms = spark.createDataFrame([("f", 1, "lift"), ("f", 2, "chiller"), ("f", 3, "transformer")], "field string, term long, label string")
+    df = spark.createDataFrame([(1, "lft"), (2, "chlier"), (3, "trnsfomer"), (4, "trf")], "id long, f string")
+    ask = lambda **kw: [r.term_id for r in canonical.match(df, "id", ["f"], terms, {}, **kw).orderBy("id").collect()]
+    assert ask() == [0, 0, 3, 3]
+    assert ask(edits=((4, 1), (7, 2)), abbreviations=False) == [1, 2, 3, 0]
+    assert ask(edits=(), abbreviations=False) == [0, 0, 0, 0]
+
+
+def test_edits_against_brute_force():
+    """Words within the edits share a string of deletes, and the distance is the least number of edits."""
     rng = random.Random(1)
+
+    def within_one(w):
+        swaps = {w[:i] + w[i + 1] + w[i] + w[i + 2 :] for i in range(len(w) - 1)}
+        gone = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        more = {w[:i] + c + w[i:] for i in range(len(w) + 1) for c in "ab"}
+        other = {w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in "ab"}
+        return swaps | gone | more | other | {w}
+
     for _ in range(3000):
         a, b = ("".join(rng.choice("ab") for _ in range(rng.randint(3, 6))) for _ in range(2))
-        swaps = {a[:i] + a[i + 1] + a[i] + a[i + 2 :] for i in range(len(a) - 1)}
-        gone = {a[:i] + a[i + 1 :] for i in range(len(a))}
-        more = {a[:i] + c + a[i:] for i in range(len(a) + 1) for c in "ab"}
-        other = {a[:i] + c + a[i + 1 :] for i in range(len(a)) for c in "ab"}
-        near = b in swaps | gone | more | other | {a}
-        assert canonical.within_one(a, b) == near
-        if near:
-            assert canonical.deletes(a) & canonical.deletes(b) and canonical.cost(a, b) <= 1.3
+        d = canonical.distance(a, b)
+        assert (d <= 1) == (b in within_one(a)) and canonical.distance(b, a) == d
+        if d <= 2:
+            assert canonical.deletes(a, d) & canonical.deletes(b, d) and canonical.cost(a, b) <= 1.3 * d
+            assert d <= 1 or any(b in within_one(x) for x in within_one(a))
 
 
 def test_mix(spark):
