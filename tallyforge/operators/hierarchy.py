@@ -1,11 +1,13 @@
 """Parent links of unknown depth to depth, root, path, ancestors and descendants, with circles detected.
 
-Method: leaves are peeled off round by round until only circles remain (after ``peel_rounds`` rounds, for very deep
-chains, the rest is found by doubling the parent map). Each circle is cut above its smallest node, which makes every
-component a tree. Euler tours of all trees are linked (entry and exit event of each node) and ranked in parallel by
-pointer jumping, so the number of rounds is the logarithm of the longest tour. Entry-exit intervals then give depth and
-subtree size, and ancestor pairs come from an equi-join on dyadic blocks of the intervals: each pair meets in exactly
-one block, and no block holds more than ``2**MAX_LEVEL`` positions, so no key is hot however large a tree is.
+Method: leaves are peeled off, twice as many layers a round: a node outlives 2**k layers exactly if it lies in the image of
+the parent map taken 2**k times, so composing the map with itself and keeping what is in its image peels 1, 2, 4, ...
+layers until only circles remain. The smallest id of each circle comes along and tells the circles apart. Each circle is cut above its node
+of the smallest key, which makes every component a tree. Euler tours of all trees are linked (entry and exit event of each node) and ranked in parallel by
+pointer jumping, three jumps a round, so the number of rounds is half the logarithm of the longest tour; only events
+that have not reached their end jump, the others are put aside and looked up. Entry-exit intervals then give depth and
+subtree size, and ancestor pairs come from an equi-join on aligned blocks of 8**k places in preorder: each pair meets in
+exactly one block, and no block holds more than ``8**LEVELS`` places, so no key is hot however large a tree is.
 
 Defined results: links with a null end are no links; repeated links count once; a node given several parents keeps the
 smallest. A node that is its own parent is a circle of one. Empty input gives empty results. A null scope counts as ''.
@@ -13,13 +15,19 @@ smallest. A node that is its own parent is a circle of one. Empty input gives em
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.runtime import materialise, release
 
-#: Blocks of intervals hold at most this power of two of tour positions.
-MAX_LEVEL = 12
+#: Levels of blocks above single places; each block holds eight of the level below.
+LEVELS = 4
+#: Parts of a component that meet the nodes of its circle in tasks of their own.
+PARTS = 32
+#: Jumps along the lists in one round: so many and one times as far.
+JUMPS = 3
 #: Siblings are linked within this many buckets of a parent, then bucket to bucket.
 SIBLING_BUCKETS = 1024
 
@@ -32,32 +40,27 @@ class Forest:
 
     def ancestors(self) -> DataFrame:
         """``scope, ancestor, node, ancestor_depth``: one row for each pair; a node on a circle is its own ancestor."""
-        up, down = self.nodes.where("hi - lo > 1 AND NOT on_circle"), self.nodes.where("depth > 0")
-        level = F.col("level")
-        low = "shiftright(lo + shiftleft(1L, level), level)"  # strict descendants lie at lo + 1 .. hi - 1
-        high = "shiftright(hi, level) - 1"
+        place, below = F.expr("shiftright(hi - depth - 1, 1)"), F.expr("shiftright(hi - lo - 1, 1)")  # entries behind, descendants
+        up = self.nodes.where("hi - lo > 1 AND NOT on_circle").withColumns({"a": place - below, "b": place - 1})
+        level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
+        of = lambda k: ("shiftright(a + shiftleft(1L, {0}) - 1, {0})".format(f"3 * ({k})"), f"shiftright(b + 1, 3 * ({k})) - 1")  # noqa: E731  whole blocks in a .. b
+        (low, high), (low2, high2) = of("level"), of("level + 1")
+        span = lambda x, y: F.expr(f"CASE WHEN {x} <= {y} THEN sequence({x}, {y}) END")
+        inner = F.expr(f"level < {LEVELS} AND low2 <= high2")  # the next level takes the middle
+        both = F.flatten(F.array_compact(F.array(span("low", "least(high, 8 * low2 - 1)"), span("greatest(low, 8 * high2 + 8)", "high"))))
+        own = F.coalesce(span("low", "high"), F.array().cast("array<bigint>"))
         blocks = (
-            up.select("id", "root", "key", "depth", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))).alias("level"))
-            .select("id", "root", "key", "depth", "level", F.expr(low).alias("a"), F.expr(high).alias("b"))
-            .where("a <= b")
-            .select(
-                "root",
-                F.col("key").alias("ancestor"),
-                F.col("depth").alias("ancestor_depth"),
-                "level",
-                F.explode(
-                    F.when(level == MAX_LEVEL, F.sequence("a", "b")).otherwise(
-                        F.array_compact(F.array(F.when(F.col("a") % 2 == 1, F.col("a")), F.when(F.col("b") % 2 == 0, F.col("b"))))
-                    )
-                ).alias("block"),
-            )
+            up.select("root", F.col("key").alias("ancestor"), F.col("depth").alias("ancestor_depth"), "a", "b", level)
+            .withColumns({name: F.expr(rule) for name, rule in (("low", low), ("high", high), ("low2", low2), ("high2", high2))})
+            .where("low <= high")
+            .select("root", "ancestor", "ancestor_depth", "level", F.explode(F.when(inner, both).otherwise(own)).alias("block"))
         )
-        places = down.select(
-            "root", "scope", F.col("key").alias("node"), "hi", F.explode(F.sequence(F.lit(0), F.lit(MAX_LEVEL))).alias("level")
-        ).select("root", "scope", "node", "level", F.expr("shiftright(hi, level)").alias("block"))
+        down = self.nodes.where("depth > 0").select("root", "scope", F.col("key").alias("node"), place.alias("place"), level)
+        places = down.select("root", "scope", "node", "level", F.expr("shiftright(place, 3 * level)").alias("block"))
         in_tree = places.join(blocks, ["root", "level", "block"])
-        ring = self.nodes.where("on_circle").select("root", F.col("key").alias("ancestor"), F.col("depth").alias("ancestor_depth"))
-        in_ring = self.nodes.select("root", "scope", F.col("key").alias("node")).join(ring, "root")
+        part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+        ring = self.nodes.where("on_circle").select("root", F.col("key").alias("ancestor"), F.col("depth").alias("ancestor_depth"), part)
+        in_ring = self.nodes.select("root", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "scope", F.col("key").alias("node")).join(ring, ["root", "part"])
         cols = ["scope", "ancestor", "node", "ancestor_depth"]
         return in_tree.select(*cols).unionByName(in_ring.select(*cols))
 
@@ -81,7 +84,7 @@ class Forest:
         )
 
 
-def forest(links: DataFrame, peel_rounds: int = 16, lone: DataFrame | None = None) -> Forest:
+def forest(links: DataFrame, lone: DataFrame | None = None) -> Forest:
     """Builds the forest of ``links`` (``scope, child, parent``). lone: ``scope, key`` of nodes that may have no link; those
     without one are roots of depth 0."""
     clean = (
@@ -104,13 +107,12 @@ def forest(links: DataFrame, peel_rounds: int = 16, lone: DataFrame | None = Non
     )
     edges = materialise(edges, "edges")
     release(clean)
-    ring = _circles(edges, peel_rounds)
-    cuts = _circle_labels(ring)
+    cuts = _circles(edges, names)
     marked = edges.join(cuts.select(F.col("node").alias("child"), "label"), "child", "left")
     tree = materialise(
         marked.select("child", F.when(~F.coalesce(F.col("label") == F.col("child"), F.lit(False)), F.col("parent")).alias("parent")), "tree"
     )
-    ranked = _rank(_tour(tree, names))
+    ranked, parts = _rank(_tour(tree, names))
     nodes = (
         ranked.groupBy(F.shiftright("event", 1).alias("id"))
         .agg(
@@ -127,58 +129,32 @@ def forest(links: DataFrame, peel_rounds: int = 16, lone: DataFrame | None = Non
         )
     )
     done = materialise(nodes, "nodes")
-    release(ranked, edges, tree, names, ring, cuts)
+    release(*parts, edges, tree, names, cuts)
     return Forest(done)
 
 
-def _circles(edges: DataFrame, peel_rounds: int) -> DataFrame:
-    """The links ``child, parent`` that lie on circles."""
-    left, size = edges, edges.count()
-    for _ in range(peel_rounds):
-        if not size:
-            return left
-        inner = left.join(left.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        inner = materialise(inner, "peel")
-        rest = inner.count()
-        if left is not edges:
-            release(left)
-        left = inner
-        if rest == size:
-            return left
-        size = rest
-    jump, seen = left, -1
-    while True:  # the image of ever larger powers of the parent map shrinks to the circles
-        image = jump.select(F.col("parent").alias("child")).distinct()
-        n = image.count()
-        if n == seen or not n:
-            found = materialise(left.join(image, "child", "left_semi"), "ring")
-            if jump is not left:
-                release(jump)
-            if left is not edges:
-                release(left)
-            return found
-        seen = n
-        further = materialise(
-            jump.alias("a").join(jump.alias("b"), F.col("a.parent") == F.col("b.child")).select("a.child", "b.parent"), "jump"
-        )
-        if jump is not left:
-            release(jump)
-        jump = further
-
-
-def _circle_labels(ring: DataFrame) -> DataFrame:
-    """``node, label``: each node on a circle with the smallest node of it."""
-    now = materialise(ring.select(F.col("child").alias("node"), F.col("parent").alias("next"), F.col("child").alias("label")), "label")
-    while True:
-        b = now.select(F.col("node").alias("next"), F.col("next").alias("next2"), F.col("label").alias("label2"))
-        step = now.join(b, "next").select(
-            "node", F.col("next2").alias("next"), F.least("label", "label2").alias("label"), (F.col("label2") < F.col("label")).alias("moved")
+def _circles(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """``node, label``: each node on a circle with the node of it whose key is the smallest."""
+    size = edges.count()
+    now = edges.select("child", "parent", F.col("child").alias("least"))
+    while size:
+        outlive = now.join(now.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
+        further = outlive.select(F.col("child").alias("parent"), F.col("parent").alias("parent2"), F.col("least").alias("least2"))
+        step = outlive.join(further, "parent").select(
+            "child", F.col("parent2").alias("parent"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")
         )
-        step = materialise(step, "label")
+        step = materialise(step, "peel")
+        got = step.agg(F.count("*").alias("n"), F.max("moved").alias("moved")).first()
         release(now)
         now = step
-        if not now.where("moved").limit(1).count():
-            return now.select("node", "label")
+        if got.n == size and not got.moved:  # the map only turns circles round, and each has seen its smallest node
+            break
+        size = got.n
+    keyed = now.join(names.select(F.col("id").alias("child"), "key"), "child")
+    first = keyed.groupBy("least").agg(F.min_by("child", "key").alias("label"))
+    found = materialise(now.join(first, "least").select(F.col("child").alias("node"), "label"), "circles")
+    release(now)
+    return found
 
 
 def _tour(tree: DataFrame, names: DataFrame) -> DataFrame:
@@ -203,25 +179,29 @@ def _tour(tree: DataFrame, names: DataFrame) -> DataFrame:
     return entries.union(exits).union(ends)
 
 
-def _rank(tour: DataFrame) -> DataFrame:
-    """``event, tail, after, closed``: the last event of its list, the events after it, and exits less entries among them."""
-    open_, done = F.col("next").isNotNull(), F.lit(0).cast("long")
-    up = F.when(F.col("next") % 2 == 1, 1).when(F.col("next") % 2 == 0, -1).otherwise(0).cast("long")
-    now = tour.select("event", "next", F.coalesce("next", "event").alias("tail"), F.when(open_, 1).otherwise(done).cast("long").alias("after"), up.alias("closed"))
-    now = materialise(now, "rank")
-    while True:
-        b = now.select(
-            F.col("event").alias("next"), F.col("next").alias("next2"), F.col("tail").alias("tail2"), F.col("after").alias("after2"), F.col("closed").alias("closed2")
-        )
-        step = now.join(b, "next", "left").select(
-            "event",
-            F.col("next2").alias("next"),
-            F.coalesce("tail2", "tail").alias("tail"),
-            (F.col("after") + F.coalesce("after2", done)).alias("after"),
-            (F.col("closed") + F.coalesce("closed2", done)).alias("closed"),
-        )
-        step = materialise(step, "rank")
-        release(now)
-        now = step
-        if not now.where("next IS NOT NULL").limit(1).count():
-            return now
+def _rank(tour: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``event, tail, after, closed`` of each event: the last event of its list, the events after it, and exits less entries
+    among them; and the tables that hold it. A list's events that have reached its end stay where they were written."""
+    zero = F.lit(0).cast("long")
+    up = F.when(F.col("next") % 2 == 1, 1).otherwise(-1).cast("long")
+    start = tour.select(
+        "event", "next", F.coalesce("next", "event").alias("tail"), F.when(F.col("next").isNotNull(), 1).otherwise(zero).cast("long").alias("after"),
+        F.when(F.col("next").isNotNull(), up).otherwise(zero).alias("closed"),
+    )
+    tables = [materialise(start, "rank")]
+    open_ = tables[0].where("next IS NOT NULL")
+    ended = [tables[0].where("next IS NULL")]
+    while open_.limit(1).count():
+        known = reduce(DataFrame.unionByName, [open_, *ended])
+        known = known.select(*[F.col(c).alias(f"{c}2") for c in ("event", "next", "tail", "after", "closed")])
+        step = open_
+        for jump in range(JUMPS):
+            on = F.coalesce("next", -1 - F.col("event")) == F.col("event2")  # what has reached its end goes through, by keys of its own
+            step = step.join(known, on, "left" if jump else "inner").select(
+                "event", F.when(F.col("event2").isNotNull(), F.col("next2")).alias("next"), F.coalesce("tail2", "tail").alias("tail"),
+                (F.col("after") + F.coalesce("after2", zero)).alias("after"), (F.col("closed") + F.coalesce("closed2", zero)).alias("closed"),
+            )
+        tables.append(materialise(step, "rank"))
+        open_ = tables[-1].where("next IS NOT NULL")
+        ended.append(tables[-1].where("next IS NULL"))
+    return reduce(DataFrame.unionByName, ended), tables

@@ -92,4 +92,17 @@ SQL = {
       above AS (SELECT project_id, parent AS ancestor, child AS board FROM edges
         UNION SELECT a.project_id, e.parent, a.board FROM above a JOIN edges e ON e.project_id = a.project_id AND e.child = a.ancestor)
       SELECT project_id, ancestor, board FROM above""",
+    "p3_paths": f"""WITH RECURSIVE {_EDGES},
+      above AS (SELECT project_id, parent AS ancestor, child AS board FROM edges
+        UNION SELECT a.project_id, e.parent, a.board FROM above a JOIN edges e ON e.project_id = a.project_id AND e.child = a.ancestor),
+      ring AS (SELECT project_id, board FROM above WHERE ancestor = board),
+      cut AS (SELECT project_id, board, min(ancestor) AS first FROM above SEMI JOIN ring USING (project_id, board) GROUP BY 1, 2),
+      tree AS (SELECT e.* FROM edges e LEFT JOIN cut c ON c.project_id = e.project_id AND c.board = e.child WHERE c.first IS NULL OR c.first != e.child),
+      nodes AS (SELECT project_id, child AS board FROM edges UNION SELECT project_id, parent FROM edges UNION SELECT project_id, key FROM boards JOIN keys ON ref = r WHERE key IS NOT NULL),
+      walk AS (SELECT project_id, board, board AS root, 0::BIGINT AS depth, board AS path FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM tree t WHERE t.project_id = n.project_id AND t.child = n.board)
+        UNION ALL SELECT w.project_id, t.child, w.root, w.depth + 1, w.path || ' > ' || t.child FROM walk w JOIN tree t ON t.project_id = w.project_id AND t.parent = w.board),
+      under AS (SELECT project_id, parent AS board, child AS below FROM tree
+        UNION ALL SELECT u.project_id, u.board, t.child FROM under u JOIN tree t ON t.project_id = u.project_id AND t.parent = u.below),
+      sizes AS (SELECT project_id, board, count(*) AS n_below FROM under GROUP BY 1, 2)
+      SELECT w.*, coalesce(n_below, 0) AS n_below, EXISTS (SELECT 1 FROM ring r WHERE r.project_id = w.project_id AND r.board = w.board) AS on_circle FROM walk w LEFT JOIN sizes USING (project_id, board)""",
 }
