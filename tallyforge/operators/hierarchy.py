@@ -40,6 +40,10 @@ class Forest:
 
     def ancestors(self) -> DataFrame:
         """``scope, ancestor, node, ancestor_depth``: one row for each pair; a node on a circle is its own ancestor."""
+        return self._pairs().drop("above")
+
+    def _pairs(self) -> DataFrame:
+        """Pairs with ``above``: whether the ancestor lies above the node in the cut tree, too."""
         place, below = F.expr("shiftright(hi - depth - 1, 1)"), F.expr("shiftright(hi - lo - 1, 1)")  # entries behind, descendants
         up = self.nodes.where("hi - lo > 1 AND NOT on_circle").withColumns({"a": place - below, "b": place - 1})
         level = F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("level")
@@ -59,18 +63,17 @@ class Forest:
         places = down.select("root", "scope", "node", "level", F.expr("shiftright(place, 3 * level)").alias("block"))
         in_tree = places.join(blocks, ["root", "level", "block"])
         part = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
-        ring = self.nodes.where("on_circle").select("root", F.col("key").alias("ancestor"), F.col("depth").alias("ancestor_depth"), part)
-        in_ring = self.nodes.select("root", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "scope", F.col("key").alias("node")).join(ring, ["root", "part"])
-        cols = ["scope", "ancestor", "node", "ancestor_depth"]
-        return in_tree.select(*cols).unionByName(in_ring.select(*cols))
+        ring = self.nodes.where("on_circle").select("root", F.col("key").alias("ancestor"), F.col("depth").alias("ancestor_depth"), "lo", "hi", part)
+        below_ring = self.nodes.select("root", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), "scope", F.col("key").alias("node"), F.col("hi").alias("at"))
+        in_ring = below_ring.join(ring, ["root", "part"]).withColumn("above", F.expr("at > lo AND at < hi"))
+        cols = ["scope", "ancestor", "node", "ancestor_depth", "above"]
+        return in_tree.withColumn("above", F.lit(True)).select(*cols).unionByName(in_ring.select(*cols))
 
     def paths(self) -> DataFrame:
         """``scope, node, root, depth, path, n_below, on_circle``, one row a node; a circle is cut at its smallest node."""
         own = self.nodes.select("scope", F.col("key").alias("node"), F.col("key").alias("ancestor"), F.col("depth").alias("ancestor_depth"))
-        # a circle's nodes above and at the node itself in the cut tree; those below it are ancestors, but not on its path
-        depth = self.nodes.select("scope", F.col("key").alias("node"), "depth")
-        above = self.ancestors().join(depth, ["scope", "node"]).where("ancestor_depth < depth").drop("depth")
-        on_path = above.where("ancestor != node").unionByName(own)
+        # nodes of a circle below or beside a node are its ancestors, but not on its path
+        on_path = self._pairs().where("above").drop("above").unionByName(own)
         path = on_path.groupBy("scope", "node").agg(F.array_sort(F.collect_list(F.struct("ancestor_depth", "ancestor"))).alias("steps"))
         facts = self.nodes.select("scope", F.col("key").alias("node"), "depth", F.expr("cast((hi - lo - 1) / 2 as bigint)").alias("n_below"), "on_circle")
         return path.join(facts, ["scope", "node"]).select(

@@ -52,6 +52,14 @@ def test_paths(spark):
     assert len(got) == 7
 
 
+def test_path_beside_a_circle(spark):
+    """b hangs from the circle's first node a; the circle's other node c stands beside it."""
+    links = [("s", "a", "c", 0, ""), ("s", "c", "a", 0, ""), ("s", "b", "a", 0, ""), ("s", "d", "b", 0, "")]
+    f = hierarchy.forest(spark.createDataFrame(links, SCHEMA))
+    assert {r.node: r.path for r in f.paths().collect()} == {"a": "a", "b": "a > b", "c": "a > c", "d": "a > b > d"}
+    assert {(r.ancestor, r.node) for r in f.ancestors().collect()} == {("a", "a"), ("c", "a"), ("a", "c"), ("c", "c"), ("a", "b"), ("c", "b"), ("b", "d"), ("a", "d"), ("c", "d")}
+
+
 @pytest.mark.parametrize("levels", [0, 1, 2])
 def test_large_interval_blocks(spark, monkeypatch, levels):
     monkeypatch.setattr(hierarchy, "LEVELS", levels)
