@@ -104,7 +104,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return splitting.split(table(spark, d, "documents"), "text", ["doc_id"]).where(F.size("pieces") > 1).select("doc_id")
+    return splitting.ranges(table(spark, d, "documents"), "text", ["doc_id"]).where(F.size("ranges") > 1).select("doc_id")
 
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Python's part is one letter per token that tells how strong a boundary its end is; the cutting itself is a regular
 expression with bounded quantifiers over those letters, whose alternatives are ordered by strength and consume up to the
-limit, the last of them at any character. Array functions turn the matches into pieces and look back for the overlap.
+limit, the last of them at any character. Array functions turn the matches into pieces and look back for the overlap. Work
+grows in proportion to a text's length: stops are running sums over blocks, and pieces are cut from bytes at known places.
 
 Defined results: texts within the limit are one piece; null and empty texts are one empty piece with no tokens. Only the
 first cut of a text could lie less than ``overlap`` tokens from its start, and never does while the text has a
@@ -18,8 +19,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.functions.patterns import let
 from tallyforge.llm.tokens import BYTE_BPE_50K, Block, Encoder, _ddl, _with, blocks, char_classes
 
+#: Pieces whose sizes are summed in one block.
+BLOCK = 64
 PARAGRAPH, LINE, SENTENCE, CLAUSE, WORD, CHARACTER, NONE = "PNSCWTm"
 #: Characters that end sentences and clauses; the wide ones need no blank behind them.
 _ENDERS, _WIDE_ENDERS, _CLOSERS = ".!?…;", "。！？", ")]\"'”’»」』"
@@ -31,12 +35,13 @@ def _in(chars: np.ndarray, those: str) -> np.ndarray:
 
 
 def strengths(b: Block, n_bytes: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token of a block: the letter of its end, and the first character at or behind its end."""
+    """Of each token of a block: the letter of its end, and the byte at which the first character at or behind its end starts."""
     end = np.cumsum(n_bytes[b.ids])
     n = len(b.chars)
     chars = np.concatenate([np.array([0, 0], np.uint32), b.chars, np.array([0], np.uint32)])
     at = np.searchsorted(b.char_at, end)
-    whole = np.append(b.char_at, len(b.data))[at] == end
+    behind = np.append(b.char_at, len(b.data))[at]
+    whole = behind == end
     last, one_back, nxt = chars[at + 1], chars[at], chars[np.minimum(at, n) + 2]
     kind = char_classes()
     blank_next, blank_last = kind[nxt] == 3, kind[last] == 3
@@ -59,7 +64,7 @@ def strengths(b: Block, n_bytes: np.ndarray, overlap: int) -> tuple[np.ndarray,
         back = np.ones(len(end), bool)
         back[overlap:] = whole[:-overlap] if overlap < len(end) else back[overlap:]
         letters[~back] = ord(NONE)
-    return letters, at
+    return letters, behind
 
 
 def pattern(limit: int, overlap: int) -> str:
@@ -75,8 +80,8 @@ def pattern(limit: int, overlap: int) -> str:
 
 
 def boundaries(df: DataFrame, text: str, keep: list[str], limit: int, overlap: int, path: str) -> DataFrame:
-    """``keep``, ``n_tokens``, and for texts over the limit ``letters`` and ``ends`` (characters up to each token)."""
-    schema = f"{_ddl(df, keep)}n_tokens bigint, letters string, ends array<int>, _text string"
+    """``keep``, ``n_tokens``, ``_text`` as bytes, and for texts over the limit ``letters`` and ``ends`` (bytes up to each token)."""
+    schema = f"{_ddl(df, keep)}n_tokens bigint, letters string, ends array<int>, _text binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(path)
@@ -86,52 +91,63 @@ def boundaries(df: DataFrame, text: str, keep: list[str], limit: int, overlap: i
                 b = coder.block(part)
                 sizes = np.diff(b.first_id)
                 letters, at = strengths(b, coder.v.n_bytes, overlap) if len(b.ids) else (np.zeros(0, np.uint8), np.zeros(0, np.int64))
-                first_char = np.searchsorted(b.char_at, b.first_byte)
                 text_letters, ends = [], []
                 for k in range(len(part)):
                     if sizes[k] > limit:
                         i, j = b.first_id[k], b.first_id[k + 1]
                         text_letters.append(letters[i:j].tobytes().decode("ascii"))
-                        ends.append((at[i:j] - first_char[k]).astype(np.int32))
+                        ends.append((at[i:j] - b.first_byte[k]).astype(np.int32))
                     else:
                         text_letters.append(None)
                         ends.append(None)
-                columns = [pa.array(sizes, pa.int64()), pa.array(text_letters, pa.string()), pa.array(ends, pa.list_(pa.int32())), part]
+                columns = [pa.array(sizes, pa.int64()), pa.array(text_letters, pa.string()), pa.array(ends, pa.list_(pa.int32())), part.cast(pa.binary())]
                 yield _with(batch, keep, row, len(part), columns, ["n_tokens", "letters", "ends", "_text"])
                 row += len(part)
 
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
+def _running(sizes: Column) -> Column:
+    """Running sums of an array: within blocks, then over the sums of the blocks before, so no long list is copied often."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    block = lambda a, k: F.slice(a, k * BLOCK + 1, F.lit(BLOCK))
+
+    def on(a: Column) -> Column:
+        start, first = F.array(F.lit(0)), F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int"))
+        bases = F.aggregate(F.transform(first, lambda k: total(block(a, k))), start, lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        inside = lambda base, part: F.transform(part, lambda _, i: base + total(F.slice(part, F.lit(1), i + 1)))
+        return let(bases, lambda at: F.flatten(F.transform(first, lambda k: let(block(a, k), lambda part: inside(F.get(at, k), part)))))
+
+    return let(sizes, lambda a: F.when(F.size(a) > 0, on(a)).otherwise(F.array().cast("array<int>")))
+
+
 def _cut(limit: int, overlap: int) -> Column:
     """array of (first, last) token numbers of the pieces, from ``letters``."""
     sizes = F.transform(F.regexp_extract_all("letters", F.lit(pattern(limit, overlap)), F.lit(0)), F.length)
-    stops = F.aggregate(
-        sizes, F.array().cast("array<int>"), lambda acc, n: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + n))
-    )
-    pieces = lambda ends: F.transform(
-        ends,
-        lambda e, i: F.struct(
-            F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.get(ends, i - 1) - overlap)).alias("start"), e.cast("int").alias("stop")
-        ),
-    )
-    return F.element_at(F.transform(F.array(stops), pieces), 1)
+    back = lambda ends, i: F.when(i == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.get(ends, i - 1) - overlap))
+    return let(_running(sizes), lambda ends: F.transform(ends, lambda e, i: F.struct(back(ends, i).alias("start"), e.cast("int").alias("stop"))))
 
 
-def split(df: DataFrame, text: str, keep: list[str], limit: int = 512, overlap: int = 64, path: str = BYTE_BPE_50K) -> DataFrame:
-    """``keep``, ``n_tokens``, ``pieces`` (array of start and stop token, text): one row a text."""
+def ranges(df: DataFrame, text: str, keep: list[str], limit: int = 512, overlap: int = 64, path: str = BYTE_BPE_50K) -> DataFrame:
+    """``keep``, ``n_tokens``, ``ranges`` (array of start and stop token of the pieces), and what ``boundaries`` gives."""
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     whole = F.array(F.struct(F.lit(0).alias("start"), F.col("n_tokens").cast("int").alias("stop")))
-    ranges = boundaries(df, text, keep, limit, overlap, path).withColumn("ranges", F.when(F.col("letters").isNull(), whole).otherwise(_cut(limit, overlap)))
+    return boundaries(df, text, keep, limit, overlap, path).withColumn("ranges", F.when(F.col("letters").isNull(), whole).otherwise(_cut(limit, overlap)))
+
+
+def split(df: DataFrame, text: str, keep: list[str], limit: int = 512, overlap: int = 64, path: str = BYTE_BPE_50K) -> DataFrame:
+    """``keep``, ``n_tokens``, ``pieces`` (array of start and stop token, text): one row a text."""
 
-    def with_text(p: Column) -> Column:
+    def with_text(body: Column, p: Column) -> Column:
         start = F.when(p["start"] == 0, F.lit(0)).otherwise(F.get("ends", p["start"] - 1))
         stop = F.get("ends", p["stop"] - 1)
-        own = F.when(F.col("ends").isNull(), F.coalesce("_text", F.lit(""))).otherwise(F.substring(F.col("_text"), start + 1, stop - start))
-        return F.struct(p["start"].alias("start"), p["stop"].alias("stop"), own.alias("text"))
+        own = F.when(F.col("ends").isNull(), body).otherwise(F.substring(body, start + 1, stop - start))
+        return F.struct(p["start"].alias("start"), p["stop"].alias("stop"), F.coalesce(own.cast("string"), F.lit("")).alias("text"))
 
-    return ranges.select(*keep, "n_tokens", F.transform("ranges", with_text).alias("pieces"))
+    # the text is taken from its row once: reading it copies it
+    cut = let(F.col("_text"), lambda body: F.transform("ranges", lambda p: with_text(body, p)))
+    return ranges(df, text, keep, limit, overlap, path).select(*keep, "n_tokens", cut.alias("pieces"))
 
 
 def pieces(df: DataFrame, text: str, keep: list[str], limit: int = 512, overlap: int = 64, path: str = BYTE_BPE_50K) -> DataFrame:

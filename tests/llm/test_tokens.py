@@ -89,3 +89,76 @@ def test_found_agrees_with_counts(spark, public):
     from tallyforge.llm.queries import p8_found
 
     assert {r.doc_id for r in p8_found(spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def test_running_sums(spark):
+    rng = random.Random(9)
+    rows = [(n, [rng.randint(1, 9) for _ in range(n)]) for n in (0, 1, 63, 64, 65, 128, 1000)]
+    df = spark.createDataFrame(rows, "n int, a array<int>")
+    got = {r.n: r.s for r in df.select("n", splitting._running(F.col("a")).alias("s")).collect()}
+    assert got == {n: [sum(a[: i + 1]) for i in range(n)] for n, a in rows}
+
+
+def strength(text, at):
+    """How strong a boundary a text has at a place: 5 paragraph, 4 line, 3 sentence, 2 clause, 1 word, 0 inside a word."""
+    blank = lambda c: c != "" and ord(c) in tokens._WHITE
+    last, before, nxt = text[at - 1], text[at - 2 : at - 1], text[at : at + 1]
+    if last in "\n\r\u2028\u2029" and nxt and not blank(nxt):
+        return 5 if before in ("\n", "\r") or last == "\u2029" else 4
+    closed = last in ")]\"'”’»」』" and before != "" and before in ".!?…;。！？"
+    if ((last in ".!?…;" or closed) and blank(nxt)) or last in "。！？" or (closed and before in "。！？"):
+        return 3
+    if (last in ",:—–" and blank(nxt)) or last in "、，；：":
+        return 2
+    return 1 if blank(nxt) or blank(last) else 0
+
+
+def test_pieces_of_the_corpus(spark, public):
+    """Every cut is the strongest in the second half of its reach, latest first; every pair shares 64 tokens; the pieces are the text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("n_chars > 1200")
+    texts_ = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    found = {}
+    for r in splitting.pieces(docs, "text", ["doc_id"]).orderBy("doc_id", "piece").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    n_bytes = tokens.vocabulary(tokens.BYTE_BPE_50K).n_bytes
+    cuts = 0
+    for doc, ids in zip(texts_, public(list(texts_.values()))):
+        text, own = texts_[doc], found[doc]
+        place = {0: 0}  # of each byte that starts a character, the character
+        for i, c in enumerate(text):
+            place[max(place) + len(c.encode())] = i + 1
+        ends, at = [0], 0
+        for i in ids:
+            at += int(n_bytes[i])
+            ends.append(place.get(at))
+        assert own[0].start_token == 0 and own[-1].stop_token == len(ids)
+        for a, b in zip(own, own[1:]):
+            assert a.stop_token - b.start_token == 64 and a.n_tokens <= 512
+            whole = [k for k in range(a.start_token + 1, a.start_token + 513) if k < len(ends) and ends[k] is not None and ends[k - 64] is not None]
+            first = a.start_token + (64 if a is own[0] else 128)  # no piece lies wholly in the overlap
+            rank = lambda k: strength(text, ends[k])
+            reach = [k for k in whole if k >= first]
+            half = a.start_token + (256 if a is own[0] else 64 + 224)
+            near = [k for k in reach if k >= half and rank(k) >= 2]
+            best = max(rank(k) for k in near) if near else None
+            if best is not None:
+                assert rank(a.stop_token) == best, (doc, a.stop_token)
+            cuts += 1
+        for p in own:
+            if ends[p.start_token] is not None and ends[p.stop_token] is not None:
+                assert p.text == text[ends[p.start_token] : ends[p.stop_token]]
+    assert cuts > 10
+
+
+def test_long_texts_are_cut_in_proportion(spark):
+    """Eight times the text takes about eight times as long, not sixty-four times."""
+    import time
+
+    took = []
+    for times in (1, 8):
+        df = spark.createDataFrame([(1, SPEECH * (1500 * times))], "doc_id long, text string")
+        began = time.perf_counter()
+        rows = splitting.pieces(df, "text", ["doc_id"]).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).first()
+        took.append(time.perf_counter() - began)
+        assert rows.n > 80 * times
+    assert took[1] < 24 * max(took[0], 0.5)
