@@ -112,7 +112,7 @@ def test_mix(spark):
     rows = [(i, rng.choice(["big"] * 8 + ["mid", "small", None, "unwanted"]), rng.choice([0, 5, 9, 40]), "x") for i in range(3000)]
     sizes = spark.createDataFrame(rows, "id long, source string, n_tokens long, budget string").repartition(5)
     targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.3, 3), ("small", 0.1, 5), ("absent", 0.1, 2)], "source string, target_share double, max_repeats int")
-    mixed = mixing.mix(sizes, targets, buckets=7).collect()
+    mixed = mixing.mix(sizes, targets, rows=100).collect()
     caps = {"big": (0.5, 1), "mid": (0.3, 3), "small": (0.1, 5)}
     total = {s: sum(r[2] for r in rows if r[1] == s) for s in caps}
     budget = int(min(total[s] * m / w for s, (w, m) in caps.items()) * 0.9)
@@ -125,10 +125,26 @@ def test_mix(spark):
     assert {r.source for r in mixed} == set(caps) and all(r.n_tokens > 0 for r in mixed)
     ordered = sorted(mixed, key=lambda r: r.tokens_so_far)
     assert all(a.finish <= b.finish for a, b in zip(ordered, ordered[1:]))
-    again = mixing.mix(sizes.repartition(3), targets, buckets=50).collect()
+    again = mixing.mix(sizes.repartition(3), targets, rows=17).collect()
     assert {(r.id, r.use) for r in again} == {(r.id, r.use) for r in mixed}
     report = {r.source: r for r in mixing.shares(mixing.mix(sizes, targets), sizes, targets).collect()}
     assert set(report) == {"big", "mid", "small", "absent"} and report["absent"].n_tokens == 0
+    for b in (500, 20_000, 10**9):  # in reach of all, with sources that give out, and beyond everything
+        order = {r.id: r.o for r in sizes.select("id", F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 1).alias("o")).collect()}
+        queue = []
+        for s, (w, m) in caps.items():
+            at = 0
+            for use in range(1, m + 1):
+                for r in sorted((r for r in rows if r[1] == s and r[2]), key=lambda r: (order[r[0]], r[0])):
+                    at += r[2]
+                    queue.append((at / w, s, use, order[r[0]], r[0], r[2]))
+        want, at = [], 0
+        for q in sorted(queue):
+            at += q[5]
+            if at <= b:
+                want.append((q[4], q[2], at))
+        got = sorted(((r.id, r.use, r.tokens_so_far) for r in mixing.mix(sizes, targets, budget=b, rows=100).collect()), key=lambda x: x[2])
+        assert got == want
     small = mixing.mix(sizes, targets, budget=500).collect()
     assert sum(r.n_tokens for r in small) <= 500
     assert mixing.mix(sizes.where("false"), targets).count() == 0
