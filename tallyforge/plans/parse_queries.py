@@ -1,17 +1,19 @@
-"""Queries of the parsers and page operators, and their SQL twins. Where the tables hold no texts of a kind, the samples
-serve, and the twin states the rows they say. Curves, capacities and board refs are in the tables as well: ``device_curves``
-and ``page_board_refs`` read them."""
+"""Queries of the parsers and page operators, and their SQL twins. Page texts of the tables hold headers only, so schedule
+lines and sentences are written from the device, board and feed tables (``rendered``) and read back; the twins know from
+the tables what must come back."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import detect, quality, refs
 from tallyforge.functions import normalise as N
 from tallyforge.functions.patterns import collapsed, first
 from tallyforge.operators import classify, spatial
-from tallyforge.plans import parse, samples
+from tallyforge.plans import parse, rendered
 from tallyforge.plans import report as R
 from tallyforge.plans.sqltext import READINGS, got, q, t
 from tallyforge.runtime import table
@@ -30,75 +32,187 @@ def query(sql: str | None = None):
     return keep
 
 
-def values(rows: list[tuple], names: str, types: str) -> str:
-    """SQL of a literal table."""
-    lit = lambda v: "NULL" if v is None else q(v) if isinstance(v, str) else str(v)
-    cols = ", ".join(f"CAST({n} AS {k}) AS {n}" for n, k in zip(names.split(), types.split()))
-    return f"SELECT {cols} FROM (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({', '.join(names.split())})"
+def _read_back(layout: str):
+    def f(spark: SparkSession, d: str) -> DataFrame:
+        return rendered.read_back(spark, d, layout)
 
+    f.__name__, f.__doc__ = f"parsed_{layout}", f"Rows read back from the device table written in the layout ``{layout}``."
+    return query(rendered.SQL[layout])(f)
 
-def _sample_pages(spark: SparkSession) -> DataFrame:
-    rows = [(f, p, "db-schedule", "\n".join(lines)) for (f, p), lines in samples.PAGES.items()]
-    return spark.createDataFrame(rows, "file_id string, page int, page_type string, text string")
 
+for _layout in rendered.LAYOUTS:
+    _read_back(_layout)
+
+
+# --- texts written from the tables -----------------------------------------------------------------------------------
+
+_N = r"^(\d+(?:\.\d+)?)$"
 
-@query(
-    values(samples.ROWS, "file_id page line way phase rating device curve sens ka poles qty conf dialect review", "VARCHAR INTEGER INTEGER INTEGER VARCHAR DOUBLE VARCHAR VARCHAR DOUBLE DOUBLE INTEGER DOUBLE DOUBLE VARCHAR BOOLEAN")
-)
-def parsed_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the sample pages in all layouts."""
-    rows = parse.parse_pages(_sample_pages(spark))
-    return rows.select("file_id", "page", "line", "way", "phase", "rating", "device", "curve", "sens", "ka", "poles", "qty", "conf", "dialect", "review")
 
+def _case(c: Column, *texts: Column) -> Column:
+    """The text for the numbers 0, 1, ... of a column."""
+    out = F.when(c == 0, texts[0])
+    for k, x in enumerate(texts[1:], 1):
+        out = out.when(c == k, x)
+    return out
 
-@query("SELECT NULL::VARCHAR AS dialect, 0::BIGINT AS n_rows WHERE false")
-def parsed_schedule_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of the page table by layout: its pages carry headers only."""
-    return parse.parse_pages(table(spark, d, "schedule_pages")).groupBy("dialect").agg(F.count("*").alias("n_rows"))
 
+def _say(template: str, **cells: Column) -> Column:
+    """A template with ``{name}`` replaced by columns, as text."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[cells[x].cast("string") if k % 2 else F.lit(x) for k, x in enumerate(parts) if k % 2 or x])
 
-@query(values(samples.FED, "id from_key to_key conf", "BIGINT VARCHAR VARCHAR DOUBLE"))
+
+@query(
+    """WITH f AS (SELECT DISTINCT feed_id, feed_id % 5 AS form, 'MSB' || (feed_id % 7 + 1) AS msb FROM feeds)
+    SELECT feed_id, CASE form WHEN 2 THEN 'TRANSFORMER' WHEN 4 THEN NULL ELSE msb END AS from_key, CASE WHEN form = 4 THEN 'SMDB' ELSE 'DB' END || feed_id AS to_key, CASE WHEN form = 4 THEN 0.6 ELSE 0.85 END::DOUBLE AS conf FROM f"""
+)
 def feeder_sentences(spark: SparkSession, d: str) -> DataFrame:
-    """Feeds that sentences tell."""
-    return parse.feeders(spark.createDataFrame(samples.FEEDERS, "id bigint, text string, context string"))
+    """Feeds that sentences tell, each feed of the table in one of five wordings."""
+    feeds = table(spark, d, "feeds").select("feed_id").distinct()
+    x = {"id": F.col("feed_id"), "k": F.col("feed_id") % 7 + 1}
+    words = ("Sub-main to DB-{id} in tray", "DB-{id} fed from MSB{k}", "DB-{id} supplied from transformer T{k}", "MSB{k} supplies DB-{id}", "Outgoing feeder to SMDB-{id}")
+    context = F.when(F.col("feed_id") % 5 == 0, _say("MSB{k}", **x))
+    return parse.feeders(feeds.select("feed_id", _case(F.col("feed_id") % 5, *[_say(w, **x) for w in words]).alias("text"), context.alias("context")))
 
 
-@query(values(samples.CABLES_FOUND, "id orig cores size cpc construction", "BIGINT VARCHAR DOUBLE DOUBLE DOUBLE VARCHAR"))
+_CABLE = "coalesce(nullif(regexp_extract(cable_csa_mm2, '^(\\d+(?:\\.\\d+)?)$', 1), ''), '4')"
+
+
+@query(
+    f"""WITH f AS (SELECT DISTINCT feed_id, feed_id % 5 AS form, (feed_id % 4 + 1)::VARCHAR AS n, {_CABLE} AS csa FROM feeds)
+    SELECT feed_id, CASE form WHEN 0 THEN n || 'C ' || csa || 'mm2' WHEN 1 THEN '6242Y ' || csa || 'mm2' WHEN 2 THEN csa || '/1.5 mm2' WHEN 3 THEN csa || 'mm CPC' ELSE '3 x ' || csa || 'mm²' END AS orig,
+      CASE form WHEN 0 THEN n::DOUBLE WHEN 4 THEN 3 END::DOUBLE AS cores, CASE WHEN form != 3 THEN csa::DOUBLE END AS size, CASE form WHEN 2 THEN 1.5 WHEN 3 THEN csa::DOUBLE END::DOUBLE AS cpc,
+      CASE form WHEN 0 THEN 'XLPE/SWA' WHEN 1 THEN '6242Y flat T&E' WHEN 2 THEN 'LSF' END AS construction FROM f"""
+)
 def cables(spark: SparkSession, d: str) -> DataFrame:
-    """Cables that texts name."""
-    rows = spark.createDataFrame(samples.CABLES, "id bigint, text string")
-    return rows.select("id", F.explode(detect.cables(F.col("text"))).alias("c")).select("id", "c.*")
+    """Cables that texts name, each feed of the table in one of five notations."""
+    feeds = table(spark, d, "feeds").select("feed_id", F.coalesce(F.nullif(F.regexp_extract("cable_csa_mm2", _N, 1), F.lit("")), F.lit("4")).alias("csa")).distinct()
+    x = {"csa": F.col("csa"), "n": F.col("feed_id") % 4 + 1}
+    words = ("{n}C {csa}mm2 XLPE SWA", "6242Y {csa}mm2", "{csa}/1.5 mm2 LSF", "{csa}mm CPC", "3 x {csa}mm² and 3 x {csa}mm²")
+    texts = feeds.select("feed_id", _case(F.col("feed_id") % 5, *[_say(w, **x) for w in words]).alias("text"))
+    return texts.select("feed_id", F.explode(detect.cables(F.col("text"))).alias("c")).select("feed_id", "c.*")
+
+
+_REST, _MISREAD = {"1": "0", "2": "6", "3": "00", "4": "25"}, {"RCBO": "RC8O", "MCCB": "MCC8"}
 
 
-@query(values(samples.CORRECTED, "id text n_corrections", "BIGINT VARCHAR INTEGER"))
+@query(
+    f"""WITH {rendered.BASE} SELECT rec_id, 'Circuit ' || way || ': 1' || {rendered.sql_pick('n::VARCHAR', _REST, '0')} || 'A ' || {rendered.sql_pick('device', {k: k for k in _MISREAD}, 'MCB')} || ' Type ' || curve || ' ' || n || '0kA' AS text,
+      CASE WHEN way = 1 THEN 4 ELSE 3 END::INTEGER AS n_corrections FROM base"""
+)
 def misread_corrections(spark: SparkSession, d: str) -> DataFrame:
-    """Texts with misread characters put right."""
-    rows = spark.createDataFrame(samples.MISREAD, "id bigint, text string")
-    return rows.select("id", detect.corrected(F.col("text")).alias("c")).select("id", "c.text", F.size("c.corrections").alias("n_corrections"))
+    """Misread characters put right: devices of the table written with l, 8 and O for 1, B and 0."""
+    b = rendered.base(spark, d)
+    number = F.when(F.col("way") == 1, "l").otherwise(F.col("way").cast("string"))
+    x = {"way": number, "rest": rendered.pick(F.col("n").cast("string"), _REST, "0"), "device": rendered.pick(F.col("device"), _MISREAD, "MC8"), "curve": F.col("curve"), "n": F.col("n")}
+    texts = b.select("rec_id", _say("Circuit {way}: l{rest}A {device} Type {curve} {n}OkA", **x).alias("t"))
+    return texts.select("rec_id", detect.corrected(F.col("t")).alias("c")).select("rec_id", "c.text", F.size("c.corrections").alias("n_corrections"))
 
 
-@query(values(samples.CURVES_FOUND, "id curve ka", "BIGINT VARCHAR DOUBLE"))
+@query(f"WITH {rendered.BASE} SELECT rec_id, CASE WHEN n < 4 THEN curve END AS curve, CASE WHEN n = 1 THEN amps % 50 + 1 END::DOUBLE AS ka FROM base")
 def curve_and_capacity(spark: SparkSession, d: str) -> DataFrame:
-    """Tripping curves and breaking capacities that the sample texts name; ``device_curves`` reads the device table."""
-    rows = spark.createDataFrame(samples.CURVES, "id bigint, text string")
-    return rows.select("id", detect.tripping_curve(F.col("text"))["value"].alias("curve"), detect.breaking_capacity(F.col("text")).alias("ka"))
+    """Tripping curves and breaking capacities that texts name, each device in one of four wordings, one of which names a
+    revision; ``device_curves`` reads the texts of the table itself."""
+    x = {"amps": F.col("amps"), "curve": F.col("curve"), "ka": F.col("amps") % 50 + 1}
+    words = ("{amps}A MCB Type {curve}, {ka} kA", "{curve}-curve breaker", "MCB {curve}{amps}", "Board {curve}12 rev")
+    texts = rendered.base(spark, d).select("rec_id", _case(F.col("n") - 1, *[_say(w, **x) for w in words]).alias("t"))
+    return texts.select("rec_id", detect.tripping_curve(F.col("t"))["value"].alias("curve"), detect.breaking_capacity(F.col("t")).alias("ka"))
+
+
+_LETTERS_OF = f"CASE WHEN device IN ({', '.join(map(q, rendered.NAMED))}) THEN device ELSE 'MCB' END"
+_POLE_WORDS = {"1": "SP", "2": "DP", "3": "TP", "4": "4P"}
+
+
+@query(
+    f"""WITH {rendered.BASE} SELECT rec_id, {_LETTERS_OF} AS device, amps::DOUBLE AS rating, {rendered.sql_pick('n::VARCHAR', _POLE_WORDS, '')} AS pole, n::INTEGER AS poles, coalesce(ma, 30)::DOUBLE AS sens, phase, n::DOUBLE AS qty FROM base"""
+)
+def fields_in_text(spark: SparkSession, d: str) -> DataFrame:
+    """Device, rating, poles in words and number, sensitivity, phase and quantity that sentences about devices tell."""
+    b = rendered.base(spark, d)
+    named = F.when(F.col("device").isin(*rendered.NAMED), F.col("device")).otherwise("MCB")
+    pole = rendered.pick(F.col("n").cast("string"), {"1": "single-pole", "2": "double-pole", "3": "triple-pole TP", "4": "four-pole"}, "")
+    x = {"n": F.col("n"), "amps": F.col("amps"), "device": named, "pole": pole, "ma": F.coalesce("ma", F.lit(30)), "phase": F.col("phase"), "descr": F.col("descr")}
+    t_ = F.col("t")
+    texts = b.select("rec_id", _say("{n} x {amps}A {device} {pole} {ma}mA on {phase} for {descr}", **x).alias("t")).withColumn("device", detect.device(t_))
+    return texts.select(
+        "rec_id", "device", detect.rating(t_).alias("rating"), detect.pole_wording(t_).alias("pole"), detect.poles(t_).alias("poles"), detect.sensitivity(t_).alias("sens"), detect.phase(t_).alias("phase"),
+        detect.quantity(t_, F.col("device")).alias("qty"),
+    )
 
 
-@query(values(samples.BOARD_KEYS, "id key", "BIGINT VARCHAR"))
+@query(
+    """WITH b AS (SELECT board_id, board_id % 6 AS form, (board_id % 10000)::VARCHAR AS n FROM boards), k AS (SELECT board_id, unnest(CASE form WHEN 0 THEN ['DB' || n || 'X'] WHEN 1 THEN ['MAINLVPANEL'] WHEN 2 THEN ['CUFLAT' || n, 'MSB1']
+      WHEN 3 THEN ['G1GFDBL' || n, 'SMDB2A'] WHEN 4 THEN ['2A' || n] ELSE [] END) AS key FROM b) SELECT * FROM k"""
+)
 def board_refs_in_text(spark: SparkSession, d: str) -> DataFrame:
-    """Refs of boards in the sample sentences; ``page_board_refs`` reads the page table."""
-    rows = spark.createDataFrame(samples.BOARD_LINES, "id bigint, text string")
-    return rows.select("id", F.explode(detect.board_refs(F.col("text"))).alias("b")).select("id", "b.key")
+    """Refs of boards in sentences, each board of the table in one of six wordings; ``page_board_refs`` reads the page table."""
+    words = (
+        "Distribution board DB-{n}-X on level 0", "DB Schedule fed from the main LV panel", "Consumer Unit (Flat {n}) and MSB1", "G1-GF-DB-L{n} next to SMDB-2A", "Board Reference: 2A{n}", "Drawing Reference: E-{n}",
+    )
+    n = {"n": F.col("board_id") % 10000}
+    texts = table(spark, d, "boards").select("board_id", _case(F.col("board_id") % 6, *[_say(w, **n) for w in words]).alias("t"))
+    return texts.select("board_id", F.explode(detect.board_refs(F.col("t"))).alias("b")).select("board_id", "b.key")
 
 
 @query(
-    "SELECT * FROM (VALUES ('P1', 'MCB', 'C', NULL, 'document_legend'), ('P2', 'RCBO', NULL, 30.0::DOUBLE, 'document_legend'), ('P3', 'MCB+RCD', NULL, 30.0, 'legend'), ('P4', 'Fuse', NULL, NULL, 'legend'),"
-    " ('P5', 'MCB', NULL, NULL, 'legend'), ('B', NULL, NULL, NULL, 'document_legend')) v(code, device, curve, sens, source)"
+    """WITH b AS (SELECT board_id, board_id % 5 AS form, (board_id % 10000)::VARCHAR AS n FROM boards)
+    SELECT board_id, CASE form WHEN 0 THEN 'SMDB' || n WHEN 1 THEN 'FACP' WHEN 2 THEN 'PANELB' || n WHEN 3 THEN 'MAINLVPANEL' ELSE 'DB0' || n END AS key, CASE form WHEN 0 THEN 'SMDB' WHEN 1 THEN 'FA' WHEN 2 THEN 'CTRL' WHEN 3 THEN 'MAIN' ELSE 'DB' END AS type,
+      CASE WHEN form = 4 AND length(n) <= 2 THEN 'P' END AS section FROM b WHERE form != 4 OR length(n) <= 2 UNION ALL SELECT board_id, 'DB0' || n || 'P', 'DB', NULL FROM b WHERE form = 4 AND length(n) > 2"""
+)
+def typed_boards(spark: SparkSession, d: str) -> DataFrame:
+    """Refs in single lines with type and section: spaced names, panels, alarm panels, the main panel, sections."""
+    words = ("S M D B {n} at riser", "FACP {n} at door", "see Panel B{n}", "main switch board, MSB", "near DB-0{n}-P")
+    n = {"n": F.col("board_id") % 10000}
+    texts = table(spark, d, "boards").select("board_id", _case(F.col("board_id") % 5, *[_say(w, **n) for w in words]).alias("t"))
+    return texts.select("board_id", F.explode(detect.line_boards(F.col("t"))).alias("b")).select("board_id", "b.key", "b.type", "b.section")
+
+
+_LEGEND = (
+    ("P1", "P1 - MCB Curve Type C", "MCB", "C", None), ("P2", "P2 - RCBO Type A 30 mA", "RCBO", None, 30), ("P3", "P3 - MCB / Fuse with RCD 30 mA", "MCB+RCD", None, 30), ("P4", "P4 - HRC Fuse", "Fuse", None, None),
+    ("P5", "P5 - MCB as listed", "MCB", None, None), ("B", "B Fitted blank", None, None, None),
+)
+_LEGEND_ROWS = ", ".join(f"({k}, {q(code)}, {q(device) if device else 'NULL'}, {q(curve) if curve else 'NULL'}, {sens or 'NULL'}::DOUBLE)" for k, (code, _, device, curve, sens) in enumerate(_LEGEND))
+
+
+@query(
+    f"SELECT board_id, code, device, curve, sens, CASE WHEN (board_id >> k) % 2 = 1 THEN 'document_legend' ELSE 'legend' END AS source FROM boards, (VALUES {_LEGEND_ROWS}) v(k, code, device, curve, sens)"
 )
 def protection_legend(spark: SparkSession, d: str) -> DataFrame:
-    """The legend that a sample page states, defaults for the rest."""
-    page = _sample_pages(spark).where("page = 2").select(F.explode(parse.legend(F.col("text"))).alias("code", "v"))
-    return page.select("code", "v.device", "v.curve", "v.sens", "v.source")
+    """The legend that a page states in part, defaults for the rest: each board's page states the codes of the bits of its id."""
+    said = [F.when(F.expr(f"shiftright(board_id, {k}) % 2 = 1"), text) for k, (_, text, *_) in enumerate(_LEGEND)]
+    pages = table(spark, d, "boards").select("board_id", F.concat_ws("\n", F.lit("General"), *said).alias("t"))
+    return pages.select("board_id", F.explode(parse.legend(F.col("t"))).alias("code", "v")).select("board_id", "code", "v.device", "v.curve", "v.sens", "v.source")
+
+
+@query(
+    f"""WITH {rendered.BASE}, {rendered._NUMBERED} SELECT file_id, page, line, {_LETTERS_OF} AS device, amps::DOUBLE AS rating, n::DOUBLE AS qty FROM lined WHERE n > 1"""
+)
+def mentions(spark: SparkSession, d: str) -> DataFrame:
+    """Devices named in specifications: each device of the table in a sentence, a quarter of them without rating and number."""
+    named = F.when(F.col("device").isin(*rendered.NAMED), F.col("device")).otherwise("MCB")
+    x = {"n": F.col("n"), "amps": F.col("amps"), "device": named, "descr": F.col("descr")}
+    text = F.when(F.col("n") > 1, _say("supply {n} x {amps}A {device} to {descr}", **x)).otherwise(_say("provide {device} for {descr}", **x))
+    lines = rendered.base(spark, d).select("file_id", "page", "rec_id", text.alias("text"))
+    return parse.mentions(rendered.pages(lines).withColumn("page_type", F.lit("spec"))).select("file_id", "page", "line", "device", "rating", "qty")
+
+
+@query(
+    """WITH b AS (SELECT board_id, board_id % 4 AS form, (board_id % 98 + 2)::INTEGER AS w FROM boards) SELECT board_id, CASE WHEN form = 3 THEN w + 6 ELSE w END::INTEGER AS ways FROM b"""
+)
+def ways_in_text(spark: SparkSession, d: str) -> DataFrame:
+    """Ways that headers state, each board in one of four wordings; ``expected_ways`` reads the table's own texts."""
+    x = {"w": F.col("board_id") % 98 + 2}
+    words = ("{w} Way TPN board", "Ways: {w}", "No. of ways (SP): {w}", "{w}-Way Power + 6-Way Lighting")
+    texts = table(spark, d, "boards").select("board_id", _case(F.col("board_id") % 4, *[_say(w, **x) for w in words]).alias("t"))
+    return texts.select("board_id", detect.expected_ways(F.col("t"))["ways"].alias("ways"))
+
+
+@query(f"WITH {rendered.BASE} SELECT file_id, page, count(*) >= 4 AS tabular FROM base GROUP BY 1, 2")
+def tabular_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether pages written from the device table look like tables: with four rows or more."""
+    lines = rendered.base(spark, d).select("file_id", "page", "rec_id", rendered.slash_lines().alias("text"))
+    return rendered.pages(lines).select("file_id", "page", detect.looks_tabular(F.col("text")).alias("tabular"))
 
 
 # --- texts of the tables, by the rules that the samples show ---------------------------------------------------------
@@ -323,9 +437,3 @@ _CAP = got(f"replace({t('fault_ka')}, ',', '.')", "(\\d+(?:\\.\\d+)?)")
 def breaking_capacities(spark: SparkSession, d: str) -> DataFrame:
     """Fault levels as capacities."""
     return table(spark, d, "boards").select("board_id", N.breaking_capacity(F.col("fault_ka")).alias("capacity"))
-
-
-@query("SELECT NULL::VARCHAR AS file_id, NULL::INTEGER AS page, NULL::VARCHAR AS device, NULL::DOUBLE AS rating WHERE false")
-def mentions(spark: SparkSession, d: str) -> DataFrame:
-    """Devices named on pages that are no schedules: the page table names none."""
-    return parse.mentions(table(spark, d, "schedule_pages")).select("file_id", "page", "device", "rating")

@@ -1,4 +1,4 @@
-"""Small schedule pages with what they say, for queries whose tables hold no such texts."""
+"""Small schedule pages and sentences with what they say."""
 
 from __future__ import annotations
 
