@@ -224,12 +224,13 @@ def match(
     The dictionary goes to the workers, so the reference list with its frequencies is read when the query is built: one scan
     of the values, summed by spelling, whatever the length of the list."""
     entries = spellings(terms, aliases)
-    n_blocks = max(1, math.ceil(entries.count() / BLOCK_ENTRIES))
+    n = entries.count()
+    n_blocks = max(1, math.ceil(n / BLOCK_ENTRIES))
     best = values.select(
         F.col(id_).alias("id"), *[F.col(f).alias(f"v{k}") for k, f in enumerate(fields)],
         *[c for k in range(len(fields)) for c in (F.lit(0.0).alias(f"s{k}"), F.lit(-1).cast("bigint").alias(f"f{k}"), F.lit(0).cast("bigint").alias(f"t{k}"))],
     )
-    frequency = _frequencies(values, fields, entries)
+    frequency = _frequencies(values, fields, entries, n <= BLOCK_ENTRIES)
     if n_blocks > 1:
         frequency = materialise(frequency, "frequency")
     for block in range(n_blocks):
@@ -243,13 +244,15 @@ def match(
     return long.where(r"c.value IS NOT NULL AND c.value RLIKE '(?U)[^\\s\\p{Cf}]'").select(F.col("id").alias(id_), "c.field_name", F.col("c.term_id").alias("term_id"))
 
 
-def _frequencies(values: DataFrame, fields: list[str], entries: DataFrame) -> DataFrame:
-    """``field, term, spelling, n``: the rows of the whole table that hold just the spelling, apart from case."""
+def _frequencies(values: DataFrame, fields: list[str], entries: DataFrame, few: bool) -> DataFrame:
+    """``field, term, spelling, n``: the rows of the whole table that hold just the spelling, apart from case. few: the list is
+    short enough to go to the workers, where values that no entry spells are dropped before anything is shuffled."""
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lower(F.trim(F.col(f))).alias("low")) for f in fields])).alias("c")
     wanted = entries.withColumn("low", F.lower(F.trim("spelling")))
-    # values that no entry spells are dropped before the sums are shuffled; the list decides on its size how
-    named = values.select(cells).select("c.*").where("low IS NOT NULL").join(wanted.select("field", "low").distinct(), ["field", "low"], "left_semi")
-    counts = named.groupBy("field", "low").agg(F.count("*").alias("n"))
+    found = values.select(cells).select("c.*").where("low IS NOT NULL")
+    if few:
+        found = found.join(F.broadcast(wanted.select("field", "low").distinct()), ["field", "low"], "left_semi")
+    counts = found.groupBy("field", "low").agg(F.count("*").alias("n"))
     return wanted.join(counts, ["field", "low"], "left").select("field", "term", "spelling", F.coalesce("n", F.lit(0)).alias("n"))
 
 
