@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.patterns import let
-from tallyforge.llm.tokens import BYTE_BPE_50K, Block, Encoder, _ddl, _with, blocks, char_classes
+from tallyforge.llm.tokens import BYTE_BPE_50K, Block, Encoder, _ddl, _with, blocks, char_classes, ship_file
 
 #: Pieces whose sizes are summed in one block.
 BLOCK = 64
@@ -81,6 +81,7 @@ def pattern(limit: int, overlap: int) -> str:
 
 def boundaries(df: DataFrame, text: str, keep: list[str], limit: int, overlap: int, path: str) -> DataFrame:
     """``keep``, ``n_tokens``, ``_text`` as bytes, and for texts over the limit ``letters`` and ``ends`` (bytes up to each token)."""
+    ship_file(df, path)
     schema = f"{_ddl(df, keep)}n_tokens bigint, letters string, ends array<int>, _text binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

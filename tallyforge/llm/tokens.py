@@ -1,10 +1,14 @@
-"""Encoding of a corpus with a public byte-level BPE tokenizer, by merge replay over its word table.
+"""Encoding of a corpus with a public byte-level BPE tokenizer, by corpus-level merge replay.
 
-Each task splits its blocks of texts into words with array operations, keeps a table of distinct words, and encodes the
-words it has not met by replaying the merges: an inverted index from token pair to word positions is built once for all
-of them, every merge that occurs is applied in rank order to all its positions, and only the pairs beside a merged
-position are entered anew. Merges never cross words, so results do not depend on how the corpus is cut into tasks; no
-row is shuffled, and every text is encoded whole.
+``encode`` goes over the corpus twice. First each task gives its distinct words, which are counted over the corpus; those
+that several tasks have (the ``SHARED_WORDS`` most shared at most) are encoded once, in ranges of their hash: an inverted
+index from token pair to word positions is built for all words of a range, every merge that occurs is applied in rank
+order to all its positions, and only the pairs beside a merged position are entered anew. This word table goes to the
+workers, who split the texts into words with array operations and look them up; words that a task alone has are replayed
+there in the same way, so every word is encoded, and about once. Merges never cross words, so results do not depend on how
+the corpus is cut into tasks; no text is shuffled, and every text is encoded whole.
+
+``count`` and the splitting of texts read the corpus once and replay the words of each task there (``shared=False``).
 
 Defined results: a null text and an empty text have no ids (an empty list).
 """
@@ -13,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -20,14 +25,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Where the public vocabulary lies; every function takes another path.
 BYTE_BPE_50K = "/opt/tokenizers/byte_bpe_50k.json"
 #: Texts are handled in blocks of about this many bytes; a longer text is a block of its own.
 BLOCK_BYTES = 1 << 21
-#: The word table is started anew when it holds this many words, to bound a worker's memory.
+#: A task's own words are forgotten when there are this many, to bound a worker's memory.
 TABLE_WORDS = 400_000
+#: Words that the corpus' word table holds at most (some 20 bytes each); the others are encoded where they are met.
+SHARED_WORDS = 500_000
 
 _OTHER, _LETTER, _NUMBER, _SPACE = 0, 1, 2, 3
 #: The characters with the property White_Space.
@@ -81,7 +91,18 @@ class Vocabulary:
 
 @lru_cache(2)
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    """The vocabulary of a file; on workers, of the copy that ``ship_file`` sent."""
+    sent = SparkFiles.get(os.path.basename(path)) if SparkFiles._root_directory else path
+    return Vocabulary(sent if os.path.exists(sent) else path)
+
+
+def ship_file(df: DataFrame, path: str) -> None:
+    """Sends a file of the driver to the workers, also those that start later, once a session."""
+    sc = df.sparkSession.sparkContext
+    sent = sc.__dict__.setdefault("_tallyforge_files", set())
+    if path not in sent:
+        sc.addFile(path)
+        sent.add(path)
 
 
 def replay(words: list[bytes], v: Vocabulary) -> list[list[int]]:
@@ -151,21 +172,21 @@ class Block:
 
 
 class Encoder:
-    """Encodes blocks of texts; keeps the word table."""
+    """Encodes blocks of texts; keeps the word table. known: words with their ids, encoded before."""
 
-    def __init__(self, path: str = BYTE_BPE_50K) -> None:
+    def __init__(self, path: str = BYTE_BPE_50K, known: tuple[list[bytes], np.ndarray, np.ndarray] | None = None) -> None:
         self.v = vocabulary(path)
+        self.known = known or ([], np.zeros(0, np.int32), np.zeros(0, np.int64))
         self._reset()
 
     def _reset(self) -> None:
-        self.table: dict[bytes, int] = {}
-        self.flat = np.zeros(0, np.int32)
-        self.start = np.zeros(0, np.int64)
-        self.length = np.zeros(0, np.int64)
+        words, self.flat, self.length = self.known
+        self.table: dict[bytes, int] = dict(zip(words, range(len(words))))
+        self.start = np.cumsum(self.length) - self.length
 
     def _numbers(self, words: list[bytes]) -> np.ndarray:
         """The numbers in the table of words, new ones entered."""
-        if len(self.table) > TABLE_WORDS:
+        if len(self.table) > TABLE_WORDS + len(self.known[0]):
             self._reset()
         table = self.table
         new = [w for w in words if w not in table]
@@ -180,26 +201,35 @@ class Encoder:
         return np.fromiter((table[w] for w in words), np.int64, len(words))
 
     def block(self, texts: pa.StringArray) -> Block:
-        texts = texts.fill_null("") if texts.null_count else texts
-        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
-        first_byte = offsets - offsets[0]
-        chars = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-        char_at = np.flatnonzero((data & 0xC0) != 0x80)
-        first_char = np.searchsorted(char_at, first_byte)
-        starts = word_starts(chars, first_char)
-        if len(starts) == 0:
+        cut = Words(texts)
+        if cut.words is None:
             none = np.zeros(0, np.int64)
-            return Block(data, chars, char_at, first_byte, none.astype(np.int32), np.zeros(len(texts) + 1, np.int64), none)
-        at = np.append(char_at[starts], len(data)).astype(np.int32)
-        words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(at), pa.py_buffer(data)).cast(pa.binary()).dictionary_encode()
-        number = self._numbers(words.dictionary.to_pylist())[words.indices.to_numpy()]
+            return Block(cut.data, cut.chars, cut.char_at, cut.first_byte, none.astype(np.int32), np.zeros(len(texts) + 1, np.int64), none)
+        number = self._numbers(cut.words.dictionary.to_pylist())[cut.words.indices.to_numpy()]
         length = self.length[number]
         ends = np.cumsum(length)
         ids = self.flat[np.repeat(self.start[number] - ends + length, length) + np.arange(ends[-1])]
-        first_word = np.searchsorted(starts, first_char)
-        return Block(data, chars, char_at, first_byte, ids, np.concatenate([[0], ends])[first_word], ends)
+        first_word = np.searchsorted(cut.starts, cut.first_char)
+        return Block(cut.data, cut.chars, cut.char_at, cut.first_byte, ids, np.concatenate([[0], ends])[first_word], ends)
+
+
+class Words:
+    """Texts cut into words: ``words``, dictionary-encoded (None if there are none), and where texts and words start."""
+
+    def __init__(self, texts: pa.StringArray) -> None:
+        texts = texts.fill_null("") if texts.null_count else texts
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        raw = texts.buffers()[2]
+        self.data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+        self.first_byte = offsets - offsets[0]
+        self.chars = np.frombuffer(self.data.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        self.char_at = np.flatnonzero((self.data & 0xC0) != 0x80)
+        self.first_char = np.searchsorted(self.char_at, self.first_byte)
+        self.starts = word_starts(self.chars, self.first_char)
+        self.words = None
+        if len(self.starts):
+            at = np.append(self.char_at[self.starts], len(self.data)).astype(np.int32)
+            self.words = pa.StringArray.from_buffers(len(self.starts), pa.py_buffer(at), pa.py_buffer(self.data)).cast(pa.binary()).dictionary_encode()
 
 
 def word_starts(chars: np.ndarray, first_char: np.ndarray) -> np.ndarray:
@@ -260,11 +290,51 @@ def _ddl(df: DataFrame, keep: list[str]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
 
 
-def encode(df: DataFrame, text: str, keep: list[str], path: str = BYTE_BPE_50K) -> DataFrame:
-    """The columns ``keep`` and ``ids array<int>`` of each row."""
+def word_table(df: DataFrame, text: str, path: str = BYTE_BPE_50K, least: int = 2, ranges: int = 16) -> DataFrame:
+    """``word binary, ids array<int>``: the words that ``least`` tasks have or more, encoded once for the corpus."""
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for batch in batches:
+            for part in blocks(batch.column("_text")):
+                words = Words(part).words
+                if words is not None:
+                    new = [w for w in words.dictionary.to_pylist() if w not in seen]
+                    yield pa.RecordBatch.from_arrays([pa.array(new, pa.binary())], ["word"])
+                    if len(seen) > TABLE_WORDS:
+                        seen.clear()
+                    seen.update(new)
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
+        words = [w for batch in batches for w in batch.column("word").to_pylist()]  # a range of the bounded table
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(replay(words, v), pa.list_(pa.int32()))], ["word", "ids"])
+
+    ship_file(df, path)
+    met = df.select(F.col(text).alias("_text")).mapInArrow(distinct, "word binary")
+    counted = met.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    shared = counted.orderBy(F.col("n").desc(), "word").limit(SHARED_WORDS).select("word")
+    return shared.repartition(ranges, "word").mapInArrow(coded, "word binary, ids array<int>")
+
+
+def _known(df: DataFrame, text: str, path: str) -> Broadcast:
+    """The word table, at most ``SHARED_WORDS`` rows, for the workers."""
+    rows = word_table(df, text, path).toArrow()
+    ids = rows.column("ids").combine_chunks()
+    lengths = np.diff(ids.offsets.to_numpy()).astype(np.int64) if len(rows) else np.zeros(0, np.int64)
+    flat = ids.flatten().to_numpy().astype(np.int32) if len(rows) else np.zeros(0, np.int32)
+    return df.sparkSession.sparkContext.broadcast((rows.column("word").to_pylist(), flat, lengths))
+
+
+def encode(df: DataFrame, text: str, keep: list[str], path: str = BYTE_BPE_50K, shared: bool = True) -> DataFrame:
+    """The columns ``keep`` and ``ids array<int>`` of each row. shared: with the corpus' word table, made when the query is
+    built; else each task encodes its own words."""
+    ship_file(df, path)
+    known = _known(df, text, path) if shared else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = Encoder(path, known.value if known else None)
         for batch in batches:
             at = 0
             for part in blocks(batch.column("_text")):
@@ -273,13 +343,12 @@ def encode(df: DataFrame, text: str, keep: list[str], path: str = BYTE_BPE_50K)
                 yield _with(batch, keep, at, len(part), [ids], ["ids"])
                 at += len(part)
 
-    from pyspark.sql import functions as F
-
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{_ddl(df, keep)}ids array<int>")
 
 
 def count(df: DataFrame, text: str, keep: list[str], path: str = BYTE_BPE_50K) -> DataFrame:
     """The columns ``keep`` and ``n_tokens bigint`` of each row."""
+    ship_file(df, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(path)
@@ -290,6 +359,4 @@ def count(df: DataFrame, text: str, keep: list[str], path: str = BYTE_BPE_50K) -
                 yield _with(batch, keep, at, len(part), [sizes], ["n_tokens"])
                 at += len(part)
 
-    from pyspark.sql import functions as F
-
     return df.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{_ddl(df, keep)}n_tokens bigint")

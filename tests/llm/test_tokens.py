@@ -39,10 +39,23 @@ def test_encode_and_count(spark, public):
     got = {r.doc_id: r.ids for r in tokens.encode(df, "text", ["doc_id"]).collect()}
     want = dict(zip([i for i, _ in rows], public([t for _, t in rows])))
     assert got == want
+    assert {r.doc_id: r.ids for r in tokens.encode(df, "text", ["doc_id"], shared=False).collect()} == want
     assert {r.doc_id: r.n_tokens for r in tokens.count(df, "text", ["doc_id"]).collect()} == {i: len(w) for i, w in want.items()}
     assert tokens.encode(df.where("false"), "text", ["doc_id"]).count() == 0
 
 
+def test_word_table(spark, public, monkeypatch):
+    """Words of several tasks are in the table, up to its bound the most shared; results do not depend on it."""
+    rows = [(1, "one two two"), (2, "one three"), (3, "one two"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartitionByRange(5, "doc_id")
+    table = {bytes(r.word): r.ids for r in tokens.word_table(df, "text").collect()}
+    assert set(table) == {b"one", b" two"} and table[b" two"] == public([" two"])[0]
+    monkeypatch.setattr(tokens, "SHARED_WORDS", 1)
+    assert [bytes(r.word) for r in tokens.word_table(df, "text").collect()] == [b"one"]
+    assert {r.doc_id: r.ids for r in tokens.encode(df, "text", ["doc_id"]).collect()} == dict(zip([i for i, _ in rows], public([t for _, t in rows])))
+    assert tokens.word_table(df.where("false"), "text").count() == 0
+
+
 SPEECH = "Mr Speaker, I beg to move. The road has been closed for ten weeks; who will open it?\n\nLet me turn to schools, which wait.\nNo one doubts it. "
 
 
