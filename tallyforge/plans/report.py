@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions import normalise as N
 from tallyforge.functions.patterns import first, natural_key, number, text
 from tallyforge.operators import consolidate as C
-from tallyforge.operators.dedup import keep_best
+from tallyforge.operators.dedup import keep_best, with_retained
 
 SPEC = ["device", "rating", "curve", "pole"]
 #: Notes for buyers, by what is missing.
@@ -16,7 +18,16 @@ NOTES = {
     "curve": "Tripping curve not specified in the source document. No curve has been assumed.",
     "pole": "Pole configuration could not be confirmed from the source document.",
     "rating": "Current rating could not be confirmed from the source document.",
+    "capacity": "Breaking capacity not specified in the source document.",
+}
+#: Notes on lines that differ from others in one attribute only.
+CONFLICT_NOTES = {
+    "curve": "Different tripping curves were read for otherwise equal devices; the lines stay apart.",
+    "capacity": "Different breaking capacities were read for otherwise equal devices; the lines stay apart.",
+    "pole": "Different pole configurations were read for otherwise equal devices; the lines stay apart.",
 }
+#: Purposes in report order; others follow by name.
+PURPOSE_ORDER = (N.GENERAL, "Lighting", "Mechanical", "Power", "Small Power")
 PURPOSES = ["Lighting", "Mechanical", "Power", "Small Power", N.GENERAL]
 
 
@@ -80,6 +91,83 @@ def with_board(rows: DataFrame) -> DataFrame:
     return rows.withColumn("board_id", F.concat_ws("|", "project_id", "board"))
 
 
+def in_purpose_order(found: Column) -> Column:
+    """An array of purposes as one text, in report order."""
+    place = F.create_map(*[F.lit(x) for pair in zip(PURPOSE_ORDER, range(len(PURPOSE_ORDER))) for x in pair])
+    ranked = F.array_sort(F.transform(found, lambda x: F.struct(F.coalesce(F.try_element_at(place, x), F.lit(99)).alias("rank"), natural_key(x).alias("key"), x.alias("x"))))
+    return F.array_join(F.transform(ranked, lambda y: y["x"]), ", ")
+
+
+def model_lines(rows: DataFrame, spec: list[str], unknown: dict[str, list[str]]) -> DataFrame:
+    """Consolidated lines under a specification: quantity, rows, boards, least confidence, applications, conflicts with lines
+    that differ in one known attribute, reasons for review and status."""
+    found = rows.groupBy("grp", *spec).agg(
+        F.sum("qty").alias("quantity"), F.count("*").alias("n_rows"), F.count_distinct("board_id").alias("n_boards"), F.round(F.least(F.lit(1.0), F.min("conf")), 6).alias("confidence"),
+        F.collect_set("purpose").alias("_purposes"),  # one of a handful of names
+    )
+    lined = C.conflicts(found.withColumn("applications", in_purpose_order(F.col("_purposes"))).drop("_purposes"), spec, unknown)
+    reasons = C.reasons(
+        ("rating missing", F.col("rating").isNull()),
+        ("curve not specified", F.col("curve") == N.NOT_SPECIFIED),
+        ("breaking capacity not specified", F.col("capacity") == N.NOT_SPECIFIED),
+        ("pole configuration unclear", F.col("pole").isin(N.UNCLEAR, N.NOT_SPECIFIED)),
+        ("low confidence", F.col("confidence") < 0.8),
+    )
+    clash = F.when(F.col("conflicts") != "", F.concat(F.lit("conflicting "), F.col("conflicts")))
+    out = lined.withColumn("reasons", F.concat_ws("; ", F.nullif(reasons, F.lit("")), clash))
+    return out.withColumn("status", F.when(F.col("reasons") == "", "Ready").otherwise("Review required"))
+
+
+def line_sources(rows: DataFrame, spec: list[str]) -> DataFrame:
+    """``spec, sources``: documents in order, each with its pages. Pages of a document are few; a line's text grows with its
+    documents."""
+    pages = source_pages(rows, spec)
+    listed = F.array_sort(F.collect_list(F.struct("document", "pages")))
+    return pages.groupBy(*spec).agg(F.array_join(F.transform(listed, lambda x: F.concat_ws(" ", x["document"], x["pages"])), "; ").alias("sources"))
+
+
+def takeoff_lines(model: DataFrame, sources: DataFrame, spec: list[str]) -> DataFrame:
+    """Sheet lines in report order and the grand total last: ``category, label, rating, pole, curve, capacity, quantity,
+    applications, sources, confidence, status, notes``."""
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"o.{k}")) for k in spec])
+    joined = model.alias("l").join(sources.alias("o"), same, "left").select("l.*", "o.sources")
+    clash = [F.when(F.array_contains(F.split("conflicts", ", "), a), F.lit(text_)) for a, text_ in CONFLICT_NOTES.items()]
+    noted = joined.withColumn("notes", F.concat_ws(
+        " ", F.when(F.col("rating").isNull(), NOTES["rating"]), F.when(F.col("curve") == N.NOT_SPECIFIED, NOTES["curve"]), F.when(F.col("capacity") == N.NOT_SPECIFIED, NOTES["capacity"]),
+        F.when(F.col("pole").isin(N.UNCLEAR, N.NOT_SPECIFIED), NOTES["pole"]), *clash,
+    )).withColumn("label", N.device_label(F.col("device"), F.col("rating"), F.col("pole")))
+    none = F.lit(None).cast("string")
+    columns = ["category", "label", "rating", "pole", "curve", "capacity", "quantity", "applications", "sources", "confidence", "status", "notes"]
+    shown = F.when(F.col("rating").isNull(), N.NOT_SPECIFIED).otherwise(N.two_places(F.col("rating")))
+    lines_ = noted.withColumns({"category": F.col("grp"), "_amps": F.col("rating"), "rating": shown})
+    total = model.agg(F.sum("quantity").alias("quantity")).select(
+        F.lit("Grand Total").alias("category"), "quantity", *[none.alias(c) for c in columns if c not in ("category", "quantity", "confidence")], F.lit(None).cast("double").alias("confidence")
+    )
+    poles = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in (("SPN", 1), ("DPN", 2), ("TPN", 3)) for x in p]), F.col("pole")), F.lit(9))
+    whole = lines_.select(*columns, "_amps", F.lit(0).alias("_last")).unionByName(total.select(*columns, F.lit(None).cast("double").alias("_amps"), F.lit(1).alias("_last")))
+    order = ["_last", N.group_rank(F.col("category")), F.col("_amps").asc_nulls_last(), poles, natural_key(F.col("curve")), natural_key(F.col("capacity")), natural_key(F.col("label"))]
+    return whole.orderBy(*order).select(*columns)
+
+
+def review_items(model: DataFrame, spec: list[str]) -> DataFrame:
+    """``spec, quantity, reason, field``: one row for each reason of a line."""
+    reason = F.col("reason")
+    names = (("conflicting", "Conflict"), ("curve", "Tripping curve"), ("capacity", "Breaking capacity"), ("pole", "Pole configuration"), ("rating", "Current rating"))
+    field = F.coalesce(*[F.when(reason.startswith(w) if w == "conflicting" else reason.contains(w), n) for w, n in names], F.lit("Source record"))
+    return model.where("reasons != ''").select(*spec, "quantity", F.explode(F.split("reasons", "; ")).alias("reason")).withColumn("field", field)
+
+
+def audit_evidence(rows: DataFrame, keys: list[str], spec: list[str]) -> DataFrame:
+    """``rec_id, field, value, confidence, file_id, page, status, retained``: every field of every row; of repeated readings the
+    surest counts and the others name it."""
+    marked = with_retained(rows, keys, F.col("conf"), "rec_id")
+    cells = C.contributors(marked, {c: c for c in spec})
+    value = F.when(F.col("field") == "rating", N.two_places(F.col("rating"))).otherwise(F.col("value"))
+    missing = F.col("value").isNull() | F.col("value").isin(N.NOT_SPECIFIED, N.UNCLEAR, "Other device")
+    status = F.when(missing, "Review required").when(F.col("retained").isNotNull(), "Excluded duplicate").otherwise("Read from source")
+    return cells.select("rec_id", "field", value.alias("value"), F.round("conf", 6).alias("confidence"), "file_id", "page", status.alias("status"), "retained")
+
+
 def ordered(report: DataFrame) -> DataFrame:
     """Report order: group, rating with missing last, poles, curve, label."""
     poles = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in (("SPN", 1), ("DPN", 2), ("TPN", 3)) for x in p]), F.col("pole")), F.lit(9))
