@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tallyforge.functions.patterns import count, has, let
 
 #: The score from which a text layer is used as it is.
 RELIABLE = 0.62
+#: Characters that are not printable: controls but tab and line feed, and the replacement character.
+_HIDDEN = "".join(chr(c) for c in range(32) if c not in (9, 10)) + "\ufffd"
 
 
 def page_quality(text: Column, expected_type: Column, order_errors: Column | None = None, boxes: Column | None = None) -> Column:
@@ -19,16 +23,17 @@ def page_quality(text: Column, expected_type: Column, order_errors: Column | Non
 
     def measured(t: Column) -> Column:
         n = F.greatest(F.lit(1), F.length(t))
-        of = lambda kind: F.length(t) - F.length(F.regexp_replace(t, kind, ""))  # noqa: E731  no array of matches is built
-        tokens = F.regexp_extract_all(t, F.lit(r"[A-Za-z0-9][A-Za-z0-9+&./-]*"), F.lit(0))
+        of = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))  # noqa: E731  no array of matches is built
+        tokens = F.regexp_count(t, F.lit(r"[A-Za-z0-9][A-Za-z0-9+&./-]*"))
+        longer = F.regexp_count(t, F.lit(r"[A-Za-z0-9][A-Za-z0-9+&./-]+"))
         return F.struct(
             F.length(t).alias("characters"),
-            F.size(F.split(t, "\n")).alias("lines"),
-            ((F.length(t) - of(r"[\x00-\x08\x0B-\x1F�]+")) / n).alias("printable"),
-            (of(r"[A-Za-z0-9]+") / n).alias("alphanumeric"),
-            of("�+").alias("corrupt"),
-            F.size(tokens).alias("tokens"),
-            F.size(F.filter(tokens, lambda x: F.length(x) == 1)).alias("single"),
+            (of("\n") + 1).alias("lines"),
+            ((F.length(t) - of(_HIDDEN)) / n).alias("printable"),
+            (of(string.ascii_letters + string.digits) / n).alias("alphanumeric"),
+            of("\ufffd").alias("corrupt"),
+            tokens.alias("tokens"),
+            (tokens - longer).alias("single"),
             detect.signals(t).alias("signals"),
             (errors / pairs).alias("disorder"),
         )
@@ -54,7 +59,7 @@ def page_quality(text: Column, expected_type: Column, order_errors: Column | Non
             m["lines"].alias("lines"), m["printable"].alias("printable"), m["alphanumeric"].alias("alphanumeric"), m["signals"].alias("signals"),
         )
 
-    return let(let(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+\z", ""), measured), rated)
+    return let(let(F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\r\x0b\x0c")), measured), rated)
 
 
 def reading_plan(width: Column, height: Column, text_height: Column, orientation: Column, skew: Column, contrast: Column, noise: Column, uneven: Column) -> Column:

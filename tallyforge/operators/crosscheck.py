@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators.dedup import keep_best
 
+#: Tasks over which rows with vague keys are spread.
+PARTS = 32
+
 
 def cross_check(primary: DataFrame, second: DataFrame, keys: list[str], fields: dict[str, tuple[Column, Column] | None], ordinal: str) -> DataFrame:
     """``keys, kind, field, first_value, second_value``: rows one side lacks, and fields known on both that differ.
@@ -35,12 +38,17 @@ def cross_check(primary: DataFrame, second: DataFrame, keys: list[str], fields:
     return both.select(*named, F.explode(F.array_compact(F.array(*cells))).alias("m")).select(*keys, "m.*")
 
 
-def fill_gaps(base: DataFrame, extra: DataFrame, equal: list[str], also: Column) -> DataFrame:
+def fill_gaps(base: DataFrame, extra: DataFrame, equal: list[str], also: Column, vague: str, ordinal: str, parts: int = PARTS) -> DataFrame:
     """The rows of ``extra`` that no row of ``base`` covers: equal keys (null equals null) and the condition ``also`` over
-    ``b`` (base) and ``e`` (extra). Keys of base are made distinct first where the condition allows it."""
-    b, e = base.alias("b"), extra.alias("e")
-    on = reduce(lambda x, y: x & y, [F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in equal])
-    return e.join(b, on & also, "left_anti")
+    ``b`` (base) and ``e`` (extra). Keys of base are made distinct first where the condition allows it.
+
+    vague: a condition on the keys of rows that say little (no board, no way), of which there may be very many: these are
+    spread by ``ordinal`` over ``parts``, in each of which base's few such keys are."""
+    here = F.when(F.expr(vague), F.pmod(F.xxhash64(ordinal), F.lit(parts))).otherwise(0).cast("int")
+    everywhere = F.explode(F.sequence(F.lit(0), F.when(F.expr(vague), parts - 1).otherwise(0).cast("int")))
+    b, e = base.withColumn("_part", everywhere).alias("b"), extra.withColumn("_part", here).alias("e")
+    on = reduce(lambda x, y: x & y, [F.col(f"b.{k}").eqNullSafe(F.col(f"e.{k}")) for k in equal], F.col("b._part") == F.col("e._part"))
+    return e.join(b, on & also, "left_anti").drop("_part")
 
 
 def upsert(base: DataFrame, extra: DataFrame, keys: list[str], value: str, score: str) -> DataFrame:

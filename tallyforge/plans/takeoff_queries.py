@@ -267,7 +267,7 @@ def merge_fill_gaps(spark: SparkSession, d: str) -> DataFrame:
     base, extra = _two_readings(spark, d)
     base = base.select("project_id", "board", "way", "phase").distinct()
     also = (F.col("b.phase") == "") | (F.col("e.phase") == "") | (F.col("b.phase") == F.col("e.phase")) | (F.col("e.phase") == "L1L2L3")
-    return crosscheck.fill_gaps(base, extra, ["project_id", "board", "way"], also).select("rec_id")
+    return crosscheck.fill_gaps(base, extra, ["project_id", "board", "way"], also, "board = '' OR way IS NULL", "rec_id").select("rec_id")
 
 
 _NORM = lambda c: f"regexp_replace(upper({t(c)}), '[\\s._/-]+', '', 'g')"
