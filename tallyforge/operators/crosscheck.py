@@ -11,6 +11,8 @@ from tallyforge.operators.dedup import keep_best
 
 #: Tasks over which rows with vague keys are spread.
 PARTS = 32
+#: Ranges within which places are counted.
+RANGES = 1000
 
 
 def cross_check(primary: DataFrame, second: DataFrame, keys: list[str], fields: dict[str, tuple[Column, Column] | None], ordinal: str) -> DataFrame:
@@ -75,3 +77,34 @@ def changes(old: DataFrame, new: DataFrame, keys: list[str], fields: list[str])
     cells += [F.when(both & ~F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}")), entry("changed", f, F.col(f"o.{f}"), F.col(f"n.{f}"))) for f in fields]
     named = [F.coalesce(F.col(f"o.{k}"), F.col(f"n.{k}")).alias(k) for k in keys]
     return o.join(n, on, "full_outer").select(*named, F.explode(F.array_compact(F.array(*cells))).alias("m")).select(*keys, "m.*")
+
+
+def merge_boards(base: DataFrame, extra: DataFrame, keys: list[str], ordinal: str, worth: float = 0.75) -> DataFrame:
+    """``keys, n_pages, parent, conf, added``: boards of both, their pages united. A board's own parent is its surest, the first
+    in a tie; the first parent that ``extra`` names replaces it where its confidence is below ``worth``.
+
+    Rows: ``keys, ordinal, parent`` (null for none), ``conf, file_id, page``. Distinct pages are counted, never listed.
+    """
+    every = base.withColumn("_base", F.lit(True)).unionByName(extra.withColumn("_base", F.lit(False)))
+    named = F.col("parent").isNotNull()
+    own = F.max_by(F.struct("parent", "conf"), F.when(F.col("_base") & named, F.struct("conf", -F.col(ordinal))))
+    new = F.min_by("parent", F.when(~F.col("_base") & named, F.col(ordinal)))
+    got = every.groupBy(*keys).agg(F.count_distinct(F.struct("file_id", "page")).alias("n_pages"), (~F.bool_or("_base")).alias("added"), own.alias("_own"), new.alias("_new"))
+    sure = F.coalesce(F.col("_own.conf"), F.lit(0.0))
+    take = F.col("_new").isNotNull() & (F.lit(worth) > sure)
+    return got.select(*keys, "n_pages", F.when(take, F.col("_new")).otherwise(F.col("_own.parent")).alias("parent"), F.when(take, worth).otherwise(sure).alias("conf"), "added")
+
+
+def placed(df: DataFrame, order: str) -> DataFrame:
+    """Adds ``place``, the place of each row by a unique ``order`` from 1 on: counted within ranges, then over their totals."""
+    from pyspark.sql import Window
+
+    ends = df.agg(F.min(order).alias("lo"), F.max(order).alias("hi")).first()
+    if ends.lo is None:
+        return df.withColumn("place", F.lit(None).cast("int"))
+    width = max(1, (ends.hi - ends.lo + 1) // RANGES)
+    ranged = df.withColumn("_range", F.floor((F.col(order) - ends.lo) / width))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
+    base = ranged.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_inside", inside).join(base, "_range").withColumn("place", (F.col("_before") + F.col("_inside")).cast("int")).drop("_range", "_inside", "_before")

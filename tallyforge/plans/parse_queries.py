@@ -384,13 +384,6 @@ def spatial_rows(spark: SparkSession, d: str) -> DataFrame:
 # --- fields ---------------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {READINGS} SELECT rec_id, e.device, e.qty FROM (SELECT rec_id, unnest([{', '.join(f'CASE WHEN regexp_matches(description, {q(p)}, {q('i')}) THEN {{device: {q(n)}, qty: coalesce(try_cast(regexp_extract(description, {q('(\\d{1,3})\\s*[x×]\\s*(?:' + p + ')')}, 1, {q('i')}) AS DOUBLE), 1.0::DOUBLE)}} END' for n, p in detect.EQUIPMENT)}]) AS e FROM included) WHERE e IS NOT NULL")
-def associated_equipment(spark: SparkSession, d: str) -> DataFrame:
-    """Control equipment that descriptions name."""
-    rows = R.included(R.readings(table(spark, d, "devices")))
-    return rows.select("rec_id", F.explode(detect.equipment(F.col("description"))).alias("e")).select("rec_id", "e.device", "e.qty")
-
-
 _SEED_DEVICE = f"""CASE WHEN regexp_matches(u, '\\bAFDD\\b') AND regexp_matches(u, '\\bRCBO\\b') THEN 'AFDD+RCBO' WHEN regexp_matches(u, '\\bRCBO\\b') THEN 'RCBO' WHEN regexp_matches(u, '\\bMCCB\\b') THEN 'MCCB'
   WHEN regexp_matches(u, '\\bMCB\\b') THEN 'MCB' WHEN regexp_matches(u, '\\bRCD\\b') THEN 'RCD' WHEN regexp_matches(u, '\\b(?:HRC\\s+)?FUSE\\b') THEN 'FUSE' ELSE u END"""
 

@@ -200,3 +200,19 @@ SQL = {
     + _expected("named", way="way", phase="phase", rating="amps", device="family", curve="curve", sens="coalesce(ma, 30)", ka="n * 6", poles="n", qty="n", conf="0.75", dialect="'generic'",
         descr="n || ' x ' || amps || 'A ' || family || ' Type ' || curve || ' ' || n || 'P ' || phase || ' ' || coalesce(ma, 30) || 'mA ' || n * 6 || 'kA ' || descr"),
 }
+
+
+# --- descriptions that name equipment -----------------------------------------------------------------------------------
+
+
+def with_equipment(rows: DataFrame) -> DataFrame:
+    """Readings whose descriptions go on with equipment: so many contactors, a time clock, so many photocells, or none."""
+    n = (F.col("rec_id") % 9 + 1).cast("string")
+    form = F.col("rec_id") % 4
+    more = F.when(form == 0, F.concat(F.lit(" with "), n, F.lit(" x contactors"))).when(form == 1, " and time clock").when(form == 2, F.concat(F.lit(" via "), n, F.lit(" x photocells"))).otherwise("")
+    return rows.withColumn("description", F.concat("description", more))
+
+
+#: CTE ``equipped``: what these descriptions name, known from the ids.
+EQUIPPED = """equipped AS MATERIALIZED (SELECT rec_id, board_id, conf, CASE rec_id % 4 WHEN 0 THEN 'Contactor' WHEN 1 THEN 'Time clock' ELSE 'Photocell' END AS named, CASE WHEN rec_id % 4 = 1 THEN 1 ELSE rec_id % 9 + 1 END::DOUBLE AS n
+  FROM included WHERE upper(device) IN ('MCB', 'RCBO', 'AFDD+RCBO', 'MCCB', 'ACB', 'RCD', 'FUSE') AND rec_id % 4 != 3)"""

@@ -226,12 +226,40 @@ def source_pages(rows: DataFrame, keys: list[str]) -> DataFrame:
     return pages.select(*keys, "document", F.concat(F.lit("p"), F.array_join(F.transform("p", lambda x: x.cast("string")), ", p")).alias("pages"))
 
 
-def equipment_model(rows: DataFrame) -> DataFrame:
-    """Control equipment that descriptions of protective devices name: ``device, quantity, n_rows, confidence``."""
+def equipment(rows: DataFrame) -> DataFrame:
+    """Rows of protective devices with ``device`` and ``qty`` of the control equipment that each description names."""
     from tallyforge.functions import detect
 
     protective = rows.where(F.upper("device").isin("MCB", "RCBO", "AFDD+RCBO", "MCCB", "ACB", "RCD", "FUSE"))
-    named = protective.select("conf", F.explode(detect.equipment(F.col("description"))).alias("e"))
-    return named.groupBy(F.col("e.device").alias("device")).agg(
-        F.sum("e.qty").alias("quantity"), F.count("*").alias("n_rows"), F.round(F.least(F.lit(1.0), F.min("conf")), 6).alias("confidence")
-    )
+    named = protective.withColumn("e", F.explode(detect.equipment(F.col("description"))))
+    return named.withColumns({"device": F.col("e.device"), "qty": F.col("e.qty"), "grp": F.lit("Control & associated equipment")}).drop("e")
+
+
+def equipment_model(rows: DataFrame) -> DataFrame:
+    """Control equipment that descriptions of protective devices name: ``device, quantity, n_rows, confidence``."""
+    return equipment(rows).groupBy("device").agg(F.sum("qty").alias("quantity"), F.count("*").alias("n_rows"), F.round(F.least(F.lit(1.0), F.min("conf")), 6).alias("confidence"))
+
+
+def full_detail(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """Rows that count and the equipment that they name, one each: ``rec_id, board_id, category, device, qty, associated,
+    purpose, role, circuit, description, document, page``."""
+    own = rows.withColumns({"associated": F.lit(False), "qty": F.col("qty").cast("double")})
+    every = own.unionByName(equipment(rows).withColumn("associated", F.lit(True)))
+    names = files.select("file_id", F.nullif(F.trim("file_name"), F.lit("")).alias("_name"))
+    return every.join(names, "file_id", "left").select(
+        "rec_id", "board_id", F.col("grp").alias("category"), "device", "qty", "associated", "purpose", F.when(F.col("incomer"), "Incomer").otherwise("Outgoing").alias("role"),
+        F.coalesce(F.col("way").cast("string"), F.lit(N.NOT_SPECIFIED)).alias("circuit"), F.coalesce(F.nullif("description", F.lit("")), F.lit(N.NOT_SPECIFIED)).alias("description"),
+        F.coalesce("_name", "file_id", F.lit(N.NOT_SPECIFIED)).alias("document"), "page",
+    )
+
+
+def review_records(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``record, retained, board_id, field, action``: unsure records, those without a rating, and repeated ones."""
+    marked = with_retained(rows, keys, F.col("conf"), "rec_id")
+    kept, none = F.col("retained").isNull(), F.lit(None).cast("bigint")
+    item = lambda rule, field, action, retained=none: F.when(rule, F.struct(retained.alias("retained"), F.lit(field).alias("field"), F.lit(action).alias("action")))
+    items = F.array_compact(F.array(
+        item(~kept, "Duplicate record", "Excluded; the surest reading is kept", F.col("retained")), item(kept & (F.col("conf") < 0.8), "Confidence", "Confirm against the source"),
+        item(kept & F.col("rating").isNull(), "Current rating", "Confirm against the source"),
+    ))
+    return marked.select(F.col("rec_id").alias("record"), "board_id", F.explode(items).alias("i")).select("record", "i.retained", "board_id", "i.field", "i.action")

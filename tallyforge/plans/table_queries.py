@@ -120,14 +120,6 @@ def capacity_rows(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query(
-    f"WITH {READINGS}, e AS (SELECT conf, unnest([{', '.join(f'CASE WHEN regexp_matches(description, {q(p)}, {q('i')}) THEN {q(n)} END' for n, p in detect.EQUIPMENT)}]) AS device FROM included WHERE upper(device) IN ('MCB', 'RCBO', 'AFDD+RCBO', 'MCCB', 'ACB', 'RCD', 'FUSE')) SELECT device, count(*) AS n_rows, round(least(1.0, min(conf)), 6)::DOUBLE AS confidence FROM e WHERE device IS NOT NULL GROUP BY 1"
-)
-def equipment_totals(spark: SparkSession, d: str) -> DataFrame:
-    """Control equipment named by protective devices, in all."""
-    return R.equipment_model(_rows(spark, d)).select("device", "n_rows", "confidence")
-
-
 @query(
     """SELECT page_type, count(*) FILTER (text IS NOT NULL AND len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\\s*\\d{1,3}\\s*[/ ]\\s*L[123]\\b|^\\s*(?:way|cct|ckt|circuit)\\s*\\d{1,3}\\b|^\\s*(?:\\d{1,3}\\s+)?L[123]\\b', 'i'))) >= 4) AS tabular,
       count(*) AS n_pages FROM schedule_pages GROUP BY 1"""

@@ -3,7 +3,7 @@ import importlib
 import pytest
 from tests.twins import assert_twin, connect
 
-MODULES = ["tallyforge.plans.record_queries", "tallyforge.plans.takeoff_queries", "tallyforge.plans.parse_queries", "tallyforge.plans.table_queries", "tallyforge.plans.model_queries"]
+MODULES = ["tallyforge.plans.record_queries", "tallyforge.plans.takeoff_queries", "tallyforge.plans.parse_queries", "tallyforge.plans.table_queries", "tallyforge.plans.model_queries", "tallyforge.plans.page_queries"]
 CASES = [(m, n) for m in MODULES for n in importlib.import_module(m).QUERIES]
 
 
