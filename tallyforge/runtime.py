@@ -7,10 +7,14 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: How written steps are cut: by size, not by the number of cores.
+_FILES = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"}
 _LIVE: set[tuple[int, str]] = set()
 
 
@@ -37,26 +41,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Where it is unset a local session gets a temporary folder of its own; a cluster session is refused, because
-    a machine-local folder would not be seen by the other executors.
+    Where it is unset a local session gets a temporary folder of its own, which the session's settings do not show; a cluster
+    session is refused, because a machine-local folder would not be seen by the other executors.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        where = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
+    if where:
+        return where
+    sc = spark.sparkContext
+    if sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not hasattr(sc, "_tallyforge_dir"):
+        sc._tallyforge_dir = f"file://{tempfile.mkdtemp(prefix='tallyforge-')}"
+    return sc._tallyforge_dir
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: its lineage ends there.
 
-    Unlike ``checkpoint()`` it computes the plan once, keeps columns prunable, and survives the loss of executors.
+    Unlike ``checkpoint()`` it computes the plan once, keeps columns prunable, and survives the loss of executors. Shuffled
+    data are written in files of a fair size, however many tasks there could be, so small steps stay small.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyforge-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _conf(spark, _FILES):
+        df.write.parquet(path)
     if not _LIVE:
         atexit.register(_drop_all)
     _LIVE.add((id(spark), path))
@@ -65,6 +73,19 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+@contextmanager
+def _conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def release(*frames: DataFrame | None) -> None:
     """Deletes the tables behind frames that ``materialise`` made and that nothing reads any more."""
     for df in frames:
@@ -74,6 +95,18 @@ def release(*frames: DataFrame | None) -> None:
             _LIVE.discard((id(df.sparkSession), path))
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that queries write inside the block are deleted at its end; results must have been used by then."""
+    before = set(_LIVE)
+    try:
+        yield
+    finally:
+        for key in _LIVE - before:
+            _delete(spark, key[1])
+            _LIVE.discard(key)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
