@@ -263,3 +263,17 @@ def review_records(rows: DataFrame, keys: list[str]) -> DataFrame:
         item(kept & F.col("rating").isNull(), "Current rating", "Confirm against the source"),
     ))
     return marked.select(F.col("rec_id").alias("record"), "board_id", F.explode(items).alias("i")).select("record", "i.retained", "board_id", "i.field", "i.action")
+
+
+def sheets(rows: DataFrame, files: DataFrame, spec: list[str], unknown: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The sheets of a workbook by name, in order: take-off, detail, review, qualifications, audit, control equipment."""
+    model, keys = model_lines(rows, spec, unknown), ["project_id", "board", "way", "phase", *spec]
+    noted = model.select("rating", "curve", "pole", "quantity")
+    return {
+        "Take-Off": takeoff_lines(model, line_sources(rows, spec), spec),
+        "Detail": full_detail(rows, files).orderBy("document", "page", "rec_id", "associated"),
+        "Review": review_items(model, spec),
+        "Qualifications": qualification_sheet(noted),
+        "Audit": audit_evidence(rows, keys, spec),
+        "Control Equipment": equipment_model(rows),
+    }

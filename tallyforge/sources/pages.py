@@ -1,4 +1,4 @@
-"""Reading pages: text files, the JSON cache of a reading run, and page files as bytes."""
+"""Reading pages: text files, delimited rows, the JSON cache of a reading run, and page files as bytes."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ RESULT = (
 
 
 def text_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``file_id, page, text`` of text files, pages parted by form feeds."""
+    """``file_id, page, text`` of text files, pages parted by form feeds. An empty file has no page."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file_id"), F.posexplode(F.split("value", "\f")).alias("_n", "text"))
     return files.select("file_id", (F.col("_n") + 1).alias("page"), "text")
 
@@ -36,6 +36,13 @@ def cached_pages(spark: SparkSession, meta: str, read: str) -> DataFrame:
     return joined.select(F.col("file").alias("file_id"), "page", F.coalesce("native", F.lit(False)).alias("native"), chosen.alias("lines"), bad.alias("error"))
 
 
+def delimited(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of CSV files with a header, all columns of ``schema`` (texts by contract) and ``_corrupt``: lines that do not fit
+    stay, with what they hold, instead of ending the run. A byte order mark and quoted line ends are read over."""
+    options = {"header": "true", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "multiLine": "true", "escape": '"', "enforceSchema": "true"}
+    return spark.read.options(**options).schema(f"{schema}, _corrupt string").csv(path)
+
+
 def model_results(df: DataFrame, json: str) -> DataFrame:
     """Adds ``result`` from JSON texts; unreadable ones are null."""
     return df.withColumn("result", F.from_json(json, RESULT, {"mode": "PERMISSIVE"}))

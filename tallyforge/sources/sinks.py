@@ -1,5 +1,6 @@
-"""Sinks of reports. A report is small (lines by boards); it is written from the driver, row by row, never gathered in
-pandas. Nothing is written unless the totals reconcile."""
+"""Sinks of reports. A report is small (lines by boards); it is written to the driver's disk, row by row, never gathered in
+pandas, and refused beyond ``MOST_ROWS``: larger results are written with ``df.write``. Nothing is written unless the totals
+reconcile."""
 
 from __future__ import annotations
 
@@ -12,6 +13,20 @@ from pyspark.sql import DataFrame
 from tallyforge.operators.consolidate import assert_reconciled
 
 
+#: Rows of a sheet that a reader can open.
+MOST_ROWS = 1_000_000
+
+
+class TooLong(ValueError):
+    """More rows than a report may have; nothing was written."""
+
+
+def _refuse_long(*sheets: DataFrame) -> None:
+    for df in sheets:
+        if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+            raise TooLong(f"more than {MOST_ROWS} rows")
+
+
 def csv_cell(value: object) -> str:
     s = "" if value is None else f"{value:g}" if isinstance(value, float) else str(value)
     return '"' + s.replace('"', '""') + '"' if any(c in s for c in '",\r\n') else s
@@ -24,6 +39,7 @@ def csv_text(header: list[str], rows: Iterable[tuple]) -> str:
 
 def write_csv(report: DataFrame, issues: DataFrame, path: str) -> None:
     assert_reconciled(issues)
+    _refuse_long(report)
     with open(path, "w", encoding="utf-8", newline="") as f:
         f.write(csv_text(report.columns, (tuple(r) for r in report.toLocalIterator())))
 
@@ -52,6 +68,7 @@ def _cells(rows: Iterable[tuple]) -> Iterator[str]:
 def write_workbook(sheets: dict[str, DataFrame], issues: DataFrame, path: str) -> None:
     """An XLSX file with one sheet a DataFrame, streamed into the archive."""
     assert_reconciled(issues)
+    _refuse_long(*sheets.values())
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     kinds = "application/vnd.openxmlformats-officedocument.spreadsheetml"
     n = range(1, len(sheets) + 1)
