@@ -96,24 +96,24 @@ def forest(links: DataFrame, lone: DataFrame | None = None) -> Forest:
         .groupBy("scope", "child")
         .agg(F.min("parent").alias("parent"))
     )
-    clean = materialise(clean, "links")
+    clean = materialise(clean, "links", by_size=True)
     names = clean.select("scope", F.col("child").alias("key")).union(clean.select("scope", "parent"))
     if lone is not None:
         names = names.union(lone.where("key IS NOT NULL").select(F.coalesce("scope", F.lit("")), "key"))
     names = names.distinct()
-    names = materialise(names.withColumn("id", F.monotonically_increasing_id()), "names")
+    names = materialise(names.withColumn("id", F.monotonically_increasing_id()), "names", by_size=True)
     c, p = names.alias("c"), names.alias("p")
     edges = (
         clean.join(c, (clean["scope"] == F.col("c.scope")) & (clean["child"] == F.col("c.key")))
         .join(p, (clean["scope"] == F.col("p.scope")) & (clean["parent"] == F.col("p.key")))
         .select(F.col("c.id").alias("child"), F.col("p.id").alias("parent"))
     )
-    edges = materialise(edges, "edges")
+    edges = materialise(edges, "edges", by_size=True)
     release(clean)
     cuts = _circles(edges, names)
     marked = edges.join(cuts.select(F.col("node").alias("child"), "label"), "child", "left")
     tree = materialise(
-        marked.select("child", F.when(~F.coalesce(F.col("label") == F.col("child"), F.lit(False)), F.col("parent")).alias("parent")), "tree"
+        marked.select("child", F.when(~F.coalesce(F.col("label") == F.col("child"), F.lit(False)), F.col("parent")).alias("parent")), "tree", by_size=True
     )
     ranked, parts = _rank(_tour(tree, names))
     nodes = (
@@ -131,7 +131,7 @@ def forest(links: DataFrame, lone: DataFrame | None = None) -> Forest:
             F.coalesce("on_circle", F.lit(False)).alias("on_circle"),
         )
     )
-    done = materialise(nodes, "nodes")
+    done = materialise(nodes, "nodes", by_size=True)
     release(*parts, edges, tree, names, cuts)
     return Forest(done)
 
@@ -146,7 +146,7 @@ def _circles(edges: DataFrame, names: DataFrame) -> DataFrame:
         step = outlive.join(further, "parent").select(
             "child", F.col("parent2").alias("parent"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")
         )
-        step = materialise(step, "peel")
+        step = materialise(step, "peel", by_size=True)
         got = step.agg(F.count("*").alias("n"), F.max("moved").alias("moved")).first()
         release(now)
         now = step
@@ -155,7 +155,7 @@ def _circles(edges: DataFrame, names: DataFrame) -> DataFrame:
         size = got.n
     keyed = now.join(names.select(F.col("id").alias("child"), "key"), "child")
     first = keyed.groupBy("least").agg(F.min_by("child", "key").alias("label"))
-    found = materialise(now.join(first, "least").select(F.col("child").alias("node"), "label"), "circles")
+    found = materialise(now.join(first, "least").select(F.col("child").alias("node"), "label"), "circles", by_size=True)
     release(now)
     return found
 
@@ -191,7 +191,7 @@ def _rank(tour: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         "event", "next", F.coalesce("next", "event").alias("tail"), F.when(F.col("next").isNotNull(), 1).otherwise(zero).cast("long").alias("after"),
         F.when(F.col("next").isNotNull(), up).otherwise(zero).alias("closed"),
     )
-    tables = [materialise(start, "rank")]
+    tables = [materialise(start, "rank", by_size=True)]
     open_ = tables[0].where("next IS NOT NULL")
     ended = [tables[0].where("next IS NULL")]
     while open_.limit(1).count():
@@ -204,7 +204,7 @@ def _rank(tour: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
                 "event", F.when(F.col("event2").isNotNull(), F.col("next2")).alias("next"), F.coalesce("tail2", "tail").alias("tail"),
                 (F.col("after") + F.coalesce("after2", zero)).alias("after"), (F.col("closed") + F.coalesce("closed2", zero)).alias("closed"),
             )
-        tables.append(materialise(step, "rank"))
+        tables.append(materialise(step, "rank", by_size=True))
         open_ = tables[-1].where("next IS NOT NULL")
         ended.append(tables[-1].where("next IS NULL"))
     return reduce(DataFrame.unionByName, ended), tables

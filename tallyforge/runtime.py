@@ -55,15 +55,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._tallyforge_dir
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", by_size: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: its lineage ends there.
 
-    Unlike ``checkpoint()`` it computes the plan once, keeps columns prunable, and survives the loss of executors. Shuffled
-    data are written in files of a fair size, however many tasks there could be, so small steps stay small.
+    Unlike ``checkpoint()`` it computes the plan once, keeps columns prunable, and survives the loss of executors. by_size:
+    shuffled data are written in files of a fair size, however many tasks there could be, so small steps stay small; for
+    plans whose last stage does little but write.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyforge-{name}-{uuid.uuid4().hex}"
-    with _conf(spark, _FILES):
+    with _conf(spark, _FILES if by_size else {}):
         df.write.parquet(path)
     if not _LIVE:
         atexit.register(_drop_all)

@@ -77,7 +77,7 @@ def test_written_steps_leave_the_session_as_it_was(spark):
     key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
     before, where = spark.conf.get(key), spark.conf.get("spark.checkpoint.dir", None)
     with runtime.scratch(spark):
-        df = runtime.materialise(spark.range(10).repartition(4), "test")
+        df = runtime.materialise(spark.range(10).repartition(4), "test", by_size=True)
         assert df.count() == 10 and spark.conf.get(key) == before and spark.conf.get("spark.checkpoint.dir", None) == where
         path = df._tallyforge_path
     fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
