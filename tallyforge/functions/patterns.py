@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable
 from functools import cache
@@ -14,8 +15,20 @@ _EDGE = "(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))
 BLANKS = "                 　﻿\u000b"
 
 
+_WORD = "[A-Za-z0-9_]"
+_SURE = r"(?:[A-Za-z0-9]|\\d)(?![?*]|\{0)"  # a word character that is not optional
+_EDGES = (
+    (re.compile(rf"\\b(?=(?:\((?:\?:)?(?={_SURE})[^|()]*\))|{_SURE})"), f"(?<!{_WORD})"),  # a word character must follow
+    (re.compile(r"(?<=(?<!\\)[A-Za-z0-9])\\b|(?<=\\d)\\b"), f"(?!{_WORD})"),  # a word character stands before
+)
+
+
+@cache
 def rx(pattern: str, ignore_case: bool = True) -> str:
-    """A pattern for the JVM in which word edges are ASCII, as they are in RE2."""
+    """A pattern for the JVM in which word edges are ASCII, as they are in RE2. Where the pattern says on which side of an edge
+    the word is, only the other side is looked at."""
+    for edge, plain in _EDGES:
+        pattern = edge.sub(lambda _: plain, pattern)  # noqa: B023
     return ("(?i)" if ignore_case else "") + pattern.replace(r"\b", _EDGE)
 
 
