@@ -1,8 +1,6 @@
 import pytest
 import regex as re
 
-import pytest
-
 from tallyforge.functions import detect
 from tallyforge.functions.patterns import _EDGE, rx
 from tallyforge.operators import classify
