@@ -187,24 +187,22 @@ def _rank(tour: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     among them; and the tables that hold it. A list's events that have reached its end stay where they were written."""
     zero = F.lit(0).cast("long")
     up = F.when(F.col("next") % 2 == 1, 1).otherwise(-1).cast("long")
-    start = tour.select(
-        "event", "next", F.coalesce("next", "event").alias("tail"), F.when(F.col("next").isNotNull(), 1).otherwise(zero).cast("long").alias("after"),
-        F.when(F.col("next").isNotNull(), up).otherwise(zero).alias("closed"),
+    has_next = F.col("next").isNotNull()
+    start = tour.select(  # what has reached its end keeps the end, as -1 - event, for its next
+        "event", F.coalesce("next", -1 - F.col("event")).alias("next"), F.when(has_next, 1).otherwise(zero).cast("long").alias("after"), F.when(has_next, up).otherwise(zero).alias("closed"),
     )
     tables = [materialise(start, "rank", by_size=True)]
-    open_ = tables[0].where("next IS NOT NULL")
-    ended = [tables[0].where("next IS NULL")]
+    open_, ended = tables[0].where("next >= 0"), [tables[0].where("next < 0")]
     while open_.limit(1).count():
         known = reduce(DataFrame.unionByName, [open_, *ended])
-        known = known.select(*[F.col(c).alias(f"{c}2") for c in ("event", "next", "tail", "after", "closed")])
+        known = known.select(*[F.col(c).alias(f"{c}2") for c in ("event", "next", "after", "closed")])
         step = open_
         for jump in range(JUMPS):
-            on = F.coalesce("next", -1 - F.col("event")) == F.col("event2")  # what has reached its end goes through, by keys of its own
+            on = F.expr("CASE WHEN next >= 0 THEN next ELSE -1 - event END = event2")  # ended events go through, by keys of their own
             step = step.join(known, on, "left" if jump else "inner").select(
-                "event", F.when(F.col("event2").isNotNull(), F.col("next2")).alias("next"), F.coalesce("tail2", "tail").alias("tail"),
-                (F.col("after") + F.coalesce("after2", zero)).alias("after"), (F.col("closed") + F.coalesce("closed2", zero)).alias("closed"),
-            )
+                "event", F.coalesce("next2", "next").alias("next"), (F.col("after") + F.coalesce("after2", zero)).alias("after"), (F.col("closed") + F.coalesce("closed2", zero)).alias("closed")
+            )
         tables.append(materialise(step, "rank", by_size=True))
-        open_ = tables[-1].where("next IS NOT NULL")
-        ended.append(tables[-1].where("next IS NULL"))
-    return reduce(DataFrame.unionByName, ended), tables
+        open_ = tables[-1].where("next >= 0")
+        ended.append(tables[-1].where("next < 0"))
+    return reduce(DataFrame.unionByName, ended).withColumn("tail", -1 - F.col("next")), tables
