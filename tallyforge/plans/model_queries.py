@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions import normalise as N
+from tallyforge.functions.refs import board_key
 from tallyforge.operators import consolidate as C
 from tallyforge.operators import coverage
 from tallyforge.operators.dedup import keep_best
 from tallyforge.plans import report as R
+from tallyforge.plans.record_queries import sql_keys
 from tallyforge.plans.sqltext import READINGS, got, q, t
 from tallyforge.runtime import table
 
@@ -247,3 +249,16 @@ def ground_truth(spark: SparkSession, d: str) -> DataFrame:
     rows = _rows(spark, d).withColumn("doc", F.col("project_id"))
     by_board = rows.groupBy("doc", "board").agg(F.count_distinct("way").alias("n"))
     return coverage.ground_truth(wanted, boards.select(F.col("project_id").alias("doc"), "board"), rows.groupBy("doc").agg(F.count("*").alias("n")), by_board)
+
+
+# --- boards by key ---------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {READINGS}, {sql_keys('SELECT board_ref AS r FROM devices')} SELECT i.project_id, k.key, count(DISTINCT i.board) AS n_spellings, sum(qty)::BIGINT AS quantity, count(DISTINCT i.way) AS n_ways FROM included i JOIN devices d USING (rec_id) LEFT JOIN keys k ON k.r = d.board_ref GROUP BY 1, 2"""
+)
+def totals_by_board_key(spark: SparkSession, d: str) -> DataFrame:
+    """Quantities and ways of boards under the board key, and under how many plain names each goes."""
+    keys = table(spark, d, "devices").select("rec_id", board_key(F.col("board_ref")).alias("key"))
+    rows = R.included(R.readings(table(spark, d, "devices"))).join(keys, "rec_id")
+    return rows.groupBy("project_id", "key").agg(F.count_distinct("board").alias("n_spellings"), F.sum("qty").alias("quantity"), F.count_distinct("way").alias("n_ways"))
