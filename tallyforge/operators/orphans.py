@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyforge.runtime import materialise
+
 _NO_TIME = -1
 
 
@@ -54,6 +56,7 @@ def missing_months(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
     """The children, with ``month``, whose key had no parent at the end of the month of ``at``; other columns stay."""
+    children = materialise(children.where(F.col("key").isNotNull()), "children")  # keys are made once, for both uses
     lack = missing_months(children, parents).select(*[F.col(c).alias(f"_m_{c}") for c in ("parent_table", "scope", "key", "month")])
     dated = children.where(F.col("key").isNotNull()).withColumn("month", F.coalesce(month_number(F.col("at")), F.lit(_NO_TIME)))
     on = (
@@ -67,6 +70,7 @@ def orphans(children: DataFrame, parents: DataFrame) -> DataFrame:
 
 def orphans_by_period(children: DataFrame, parents: DataFrame) -> DataFrame:
     """``src_table, ref_month, n_refs, n_orphans, n_orphan_keys``: counts are summed by key before anything is joined."""
+    children = materialise(children.where(F.col("key").isNotNull()), "children")
     lack = missing_months(children, parents).withColumn("gone", F.lit(True))
     lack = lack.select(*[F.col(c).alias(f"_m_{c}") for c in ("parent_table", "scope", "key", "month")], "gone")
     counted = (
