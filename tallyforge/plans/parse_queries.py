@@ -233,7 +233,19 @@ def _page_lines(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("file_id", "page", F.posexplode(F.split("text", "\n")).alias("line", "text"))
 
 
-@query()
+_SAID = f"coalesce({got('u', detect.CURVE_WORDS[0])}, {got('u', detect.CURVE_WORDS[1])})"
+_COMPACT = got("u", detect.CURVE_COMPACT.replace(r"(?=\s|$|[,;])", r"(?:\s|$|[,;])"))
+_NEAR = "regexp_matches(u, '\\b(?:MCB|MCCB|RCBO|AFDD|CIRCUIT BREAKER)\\b')"
+_REVISED = f"(regexp_matches(u, {q(detect.CURVE_REVISION)}) AND NOT regexp_matches(u, '\\b(?:MCB|MCCB|RCBO|AFDD)\\b'))"
+_KA = f"try_cast({got('u', '\\b(\\d+(?:\\.\\d+)?)\\s*KA\\b')} AS DOUBLE)"
+
+
+@query(
+    f"""WITH f AS (SELECT rec_id, 'device_class' AS field_name, device_class AS x FROM devices UNION ALL SELECT rec_id, 'description', description FROM devices),
+    t AS (SELECT rec_id, field_name, upper(trim(regexp_replace({t('x')}, '\\s+', ' ', 'g'))) AS u FROM f WHERE x IS NOT NULL),
+    g AS (SELECT rec_id, field_name, coalesce({_SAID}, CASE WHEN {_NEAR} AND NOT {_REVISED} THEN {_COMPACT} END) AS curve, CASE WHEN {_KA} > 0 AND {_KA} <= 150 THEN {_KA} END AS ka FROM t)
+    SELECT * FROM g WHERE curve IS NOT NULL OR ka IS NOT NULL"""
+)
 def device_curves(spark: SparkSession, d: str) -> DataFrame:
     """Tripping curves and breaking capacities that classes and descriptions of devices name; texts without either have no row."""
     found = _device_texts(spark, d).select("rec_id", "field_name", detect.tripping_curve(F.col("text"))["value"].alias("curve"), detect.breaking_capacity(F.col("text")).alias("ka"))
@@ -342,7 +354,16 @@ def reading_plan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "schedule_pages").where("NOT native").select("file_id", "page", F.explode(plan).alias("c")).select("file_id", "page", "c.id", "c.scale")
 
 
-@query()
+_TRADE_WORDS = "(?i)\\b(?:MCB|MCCB|RCBO|RCD|AFDD|SPD|SPN|DPN|TPN|L[123]|\\d+(?:\\.\\d+)?\\s*(?:A|MA|KA))\\b"
+
+
+@query(
+    f"""WITH src AS (SELECT file_id || '|' || page AS id, page_type AS kind, text FROM schedule_pages), {_QUALITY},
+    c AS (SELECT p.file_id, p.page, round(greatest(0.0, least(1.0, CASE WHEN native THEN 0.95 ELSE 0.7 END::DOUBLE * 0.45 + s.score * 0.42 + least(0.08, len(regexp_extract_all(coalesce(text, ''), '{_TRADE_WORDS}')) * 0.008)
+      + least(0.05, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda y: regexp_matches(y, '(?:^|\\s)(?:\\d{{1,3}}\\s*(?:/\\s*)?L[123]|L[123]\\s+\\d+(?:\\.\\d+)?)', 'i'))) * 0.01))), 6)::DOUBLE AS score
+      FROM schedule_pages p JOIN s ON s.id = p.file_id || '|' || p.page)
+    SELECT file_id, page, score FROM c QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY score DESC, page) = 1"""
+)
 def best_reading(spark: SparkSession, d: str) -> DataFrame:
     """The best page text of each file, the first in a tie."""
     pages = table(spark, d, "schedule_pages").withColumn("score", quality.candidate_score(F.col("text"), F.when(F.col("native"), 0.95).otherwise(0.7), F.col("page_type")))
