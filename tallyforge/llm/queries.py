@@ -123,6 +123,13 @@ _ROWS = f"""{_DEVICE_KEYS},
       UNION ALL SELECT 'rating_a', * FROM many WHERE n_rows > 1 AND regexp_matches(rating_a, '{_NUMBER}')
       UNION ALL SELECT 'description', * FROM many WHERE n_rows > 1 AND trim(description) != '')"""
 
+_TEXTS = ("description", "device_class", "trip_curve", "poles", "rcd_ma", "cpc_csa_mm2")
+_BEST = "arg_max({0}, (conf, coalesce(received_at, TIMESTAMP '0001-01-01'), -rec_id))"
+_SURVIVORS = f"""{_DEVICE_KEYS},
+    rows AS (SELECT d.*, key, coalesce(phase, '') AS phase_key, try_cast(regexp_extract(way, '^\\s*(?i:way|w|cct|ckt|circuit)?[\\s.:#]*0*([0-9]{{1,9}})(?:[.,]0+)?\\s*$', 1) AS INTEGER) AS way_no,
+        try_cast(replace(nullif(regexp_extract(rating_a, '{_NUMBER}', 1), ''), ',', '.') AS DOUBLE) AS amps, coalesce(CASE WHEN confidence LIKE '%\\%%' ESCAPE '\\' THEN n / 100 ELSE n END, 0) AS conf
+      FROM (SELECT *, try_cast(replace(regexp_extract(confidence, '{_CONFIDENCE}', 1), ',', '.') AS DOUBLE) AS n FROM devices) d JOIN keys ON board_ref = r AND is_ref)"""
+
 QUERIES = {
     "p2_found": p2_found, "p2_misses": p2_misses, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p5_forms": p5_forms,
     "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_pieces": p8_pieces,
@@ -130,6 +137,8 @@ QUERIES = {
 SQL = {
     "p4_found": f"""WITH {_ROWS} SELECT field_name, rec_id FROM long
       QUALIFY row_number() OVER (PARTITION BY field_name, project_id, key, way_no, phase ORDER BY conf DESC, received_at DESC, rec_id) = 1""",
+    "p4_survivors": f"""WITH {_SURVIVORS} SELECT project_id, key AS board_key, way_no, phase_key AS phase, count(*) AS n_rows, {_BEST.format('rec_id')} AS record, {_BEST.format('amps')} FILTER (regexp_matches(rating_a, '{_NUMBER}')) AS rating_a,
+      {', '.join(f"{_BEST.format(c)} FILTER (trim({c}) != '') AS {c}" for c in _TEXTS)} FROM rows WHERE way_no IS NOT NULL GROUP BY ALL HAVING count(*) > 1""",
     "p5_found": f"""WITH {_ALL_KEYS} SELECT 'boards' AS src_table, board_id AS record_id FROM boards JOIN keys ON ref = r WHERE is_ref AND form != r
       UNION ALL SELECT 'devices', rec_id FROM devices JOIN keys ON board_ref = r WHERE is_ref AND form != r""",
     "p5_forms": f"""WITH {_ALL_KEYS} SELECT 'boards' AS src_table, board_id AS record_id, form FROM boards LEFT JOIN keys ON ref = r

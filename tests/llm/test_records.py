@@ -129,6 +129,11 @@ def test_mix(spark):
     assert {(r.id, r.use) for r in again} == {(r.id, r.use) for r in mixed}
     report = {r.source: r for r in mixing.shares(mixing.mix(sizes, targets), sizes, targets).collect()}
     assert set(report) == {"big", "mid", "small", "absent"} and report["absent"].n_tokens == 0
+    for s in caps:
+        own = [r for r in mixed if r.source == s]
+        r = report[s]
+        assert (r.n_tokens, r.n_uses, r.most_uses, r.available_tokens) == (sum(x.n_tokens for x in own), len(own), max(x.use for x in own), total[s])
+        assert r.actual_share == round(r.n_tokens / used, 6) and r.target_share == caps[s][0]
     for b in (500, 20_000, 10**9):  # in reach of all, with sources that give out, and beyond everything
         order = {r.id: r.o for r in sizes.select("id", F.shiftrightunsigned(F.xxhash64("id", F.lit(17)), 1).alias("o")).collect()}
         queue = []
