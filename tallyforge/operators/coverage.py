@@ -93,7 +93,7 @@ class Coverage:
         want = said.groupBy(*self.KEYS).agg(most.alias("e"))
         slot = F.when(F.col("way").isNotNull(), F.concat_ws(":", F.coalesce("section", F.lit("")), "way"))
         got = self.rows.groupBy(*self.KEYS).agg(F.count_distinct(slot).alias("captured_ways"), F.count("*").alias("rows_captured"))
-        upstream = F.coalesce(F.upper("kind").isin(*UPSTREAM_TYPES), F.lit(False)) | ~in_scope(F.col("ref"))
+        upstream = ~in_scope(F.col("ref"), F.col("kind"))
         named = self.boards.groupBy(*self.KEYS).agg(F.bool_or(upstream).alias("upstream"), F.bool_or(F.coalesce("primary", F.lit(False))).alias("primary"))
         zero, ways = F.lit(0).cast("bigint"), F.col("e.ways")
         scoped = F.col("primary") & ~F.col("upstream") if self.owned else F.lit(True)

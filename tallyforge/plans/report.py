@@ -168,12 +168,6 @@ def audit_evidence(rows: DataFrame, keys: list[str], spec: list[str]) -> DataFra
     return cells.select("rec_id", "field", value.alias("value"), F.round("conf", 6).alias("confidence"), "file_id", "page", status.alias("status"), "retained")
 
 
-def ordered(report: DataFrame) -> DataFrame:
-    """Report order: group, rating with missing last, poles, curve, label."""
-    poles = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in (("SPN", 1), ("DPN", 2), ("TPN", 3)) for x in p]), F.col("pole")), F.lit(9))
-    return report.orderBy(N.group_rank(F.col("grp")), F.col("rating").asc_nulls_last(), poles, natural_key(F.col("curve")), "label")
-
-
 def takeoff_sheet(rows: DataFrame, boards: list[str]) -> DataFrame:
     """Quantities of each line by board, with the grand total as a line of nulls; refuses rows that do not reconcile."""
     report = C.lines(rows, SPEC, "qty", "conf")
