@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.runtime import materialise, release
+from tallyforge.runtime import materialise, observed, release
 
 #: Levels of blocks above single places; each block holds eight of the level below.
 LEVELS = 4
@@ -108,7 +108,7 @@ def forest(links: DataFrame, lone: DataFrame | None = None) -> Forest:
         .join(p, (clean["scope"] == F.col("p.scope")) & (clean["parent"] == F.col("p.key")))
         .select(F.col("c.id").alias("child"), F.col("p.id").alias("parent"))
     )
-    edges = materialise(edges, "edges", by_size=True)
+    edges = materialise(edges, "edges", by_size=True, n=F.count(F.lit(1)))
     release(clean)
     cuts = _circles(edges, names)
     marked = edges.join(cuts.select(F.col("node").alias("child"), "label"), "child", "left")
@@ -138,7 +138,7 @@ def forest(links: DataFrame, lone: DataFrame | None = None) -> Forest:
 
 def _circles(edges: DataFrame, names: DataFrame) -> DataFrame:
     """``node, label``: each node on a circle with the node of it whose key is the smallest."""
-    size = edges.count()
+    size = observed(edges)["n"]
     now = edges.select("child", "parent", F.col("child").alias("least"))
     while size:
         outlive = now.join(now.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
@@ -146,13 +146,13 @@ def _circles(edges: DataFrame, names: DataFrame) -> DataFrame:
         step = outlive.join(further, "parent").select(
             "child", F.col("parent2").alias("parent"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("moved")
         )
-        step = materialise(step, "peel", by_size=True)
-        got = step.agg(F.count("*").alias("n"), F.max("moved").alias("moved")).first()
+        step = materialise(step, "peel", by_size=True, n=F.count(F.lit(1)), moved=F.max("moved"))
+        got = observed(step)
         release(now)
         now = step
-        if got.n == size and not got.moved:  # the map only turns circles round, and each has seen its smallest node
+        if got["n"] == size and not got["moved"]:  # the map only turns circles round, and each has seen its smallest node
             break
-        size = got.n
+        size = got["n"]
     keyed = now.join(names.select(F.col("id").alias("child"), "key"), "child")
     first = keyed.groupBy("least").agg(F.min_by("child", "key").alias("label"))
     found = materialise(now.join(first, "least").select(F.col("child").alias("node"), "label"), "circles", by_size=True)
@@ -191,9 +191,10 @@ def _rank(tour: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     start = tour.select(  # what has reached its end keeps the end, as -1 - event, for its next
         "event", F.coalesce("next", -1 - F.col("event")).alias("next"), F.when(has_next, 1).otherwise(zero).cast("long").alias("after"), F.when(has_next, up).otherwise(zero).alias("closed"),
     )
-    tables = [materialise(start, "rank", by_size=True)]
+    left = F.count(F.when(F.col("next") >= 0, 1))
+    tables = [materialise(start, "rank", by_size=True, left=left)]
     open_, ended = tables[0].where("next >= 0"), [tables[0].where("next < 0")]
-    while open_.limit(1).count():
+    while observed(tables[-1])["left"]:
         known = reduce(DataFrame.unionByName, [open_, *ended])
         known = known.select(*[F.col(c).alias(f"{c}2") for c in ("event", "next", "after", "closed")])
         step = open_
@@ -202,7 +203,7 @@ def _rank(tour: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             step = step.join(known, on, "left" if jump else "inner").select(
                 "event", F.coalesce("next2", "next").alias("next"), (F.col("after") + F.coalesce("after2", zero)).alias("after"), (F.col("closed") + F.coalesce("closed2", zero)).alias("closed")
             )
-        tables.append(materialise(step, "rank", by_size=True))
+        tables.append(materialise(step, "rank", by_size=True, left=left))
         open_ = tables[-1].where("next >= 0")
         ended.append(tables[-1].where("next < 0"))
     return reduce(DataFrame.unionByName, ended).withColumn("tail", -1 - F.col("next")), tables

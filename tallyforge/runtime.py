@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: How written steps are cut: by size, not by the number of cores.
 _FILES = {"spark.sql.adaptive.coalescePartitions.parallelismFirst": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32m"}
@@ -55,15 +55,18 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._tallyforge_dir
 
 
-def materialise(df: DataFrame, name: str = "step", by_size: bool = False) -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", by_size: bool = False, **seen: Column) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: its lineage ends there.
 
     Unlike ``checkpoint()`` it computes the plan once, keeps columns prunable, and survives the loss of executors. by_size:
     shuffled data are written in files of a fair size, however many tasks there could be, so small steps stay small; for
-    plans whose last stage does little but write.
+    plans whose last stage does little but write. seen: aggregates that are taken while it is written, for ``observed``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallyforge-{name}-{uuid.uuid4().hex}"
+    observation = Observation()
+    if seen:
+        df = df.observe(observation, *[c.alias(k) for k, c in seen.items()])
     with _conf(spark, _FILES if by_size else {}):
         df.write.parquet(path)
     if not _LIVE:
@@ -71,9 +74,15 @@ def materialise(df: DataFrame, name: str = "step", by_size: bool = False) -> Dat
     _LIVE.add((id(spark), path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tallyforge_path = path  # for release()
+    out._tallyforge_seen = observation.get if seen else {}
     return out
 
 
+def observed(df: DataFrame) -> dict:
+    """The aggregates that ``materialise`` took while it wrote a frame."""
+    return df._tallyforge_seen
+
+
 @contextmanager
 def _conf(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """Settings of the session for a while."""
