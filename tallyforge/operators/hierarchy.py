@@ -131,7 +131,7 @@ def forest(links: DataFrame, lone: DataFrame | None = None) -> Forest:
             F.coalesce("on_circle", F.lit(False)).alias("on_circle"),
         )
     )
-    done = materialise(nodes, "nodes", by_size=True)
+    done = materialise(nodes, "nodes")  # pairs are made from it, the larger part of the work
     release(*parts, edges, tree, names, cuts)
     return Forest(done)
 
